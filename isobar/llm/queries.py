@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, token_counts, token_files
+from . import bpe, simhash, token_counts, token_files, url_filter
 
 
 def word_bpe() -> str:
@@ -26,6 +26,36 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.apply_rules(table(spark, sf_dir, "pages"), RULES)
+
+
+OP3_SQL = r"""
+with parsed as (
+  select page_id,
+    case when contains(url, '://') then translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*', 0),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+    case when contains(url, '://') then regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path
+  from pages),
+rules(verdict, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path,
+  (select h || p from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc limit 1) as rule,
+  coalesce((select verdict from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+    order by length(h || p) desc limit 1), 'allow') as verdict
+from parsed
+"""
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), word_bpe(), end_id=1)
 
@@ -40,9 +70,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_url_filter": op3_url_filter,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
     "op9_bpe": op9_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_url_filter": OP3_SQL,
+}
