@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, token_counts, token_files, url_filter
+from . import bpe, simhash, syncmers, token_counts, token_files, url_filter
 
 
 def word_bpe() -> str:
@@ -68,12 +68,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
     "op9_bpe": op9_bpe,
+    "op10_syncmers": op10_syncmers,
 }
 
 SQL: dict[str, str] = {
