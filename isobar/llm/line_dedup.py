@@ -107,13 +107,14 @@ def shared(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def near_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """One row (first, earliest) per distinct line with an earlier line within one edit: the earliest of these."""
-    halves = firsts.select("first", F.explode("keys").alias("key"))
+    # a line's first place, and its hash, as rows that share a doc_id may differ in text
+    named = firsts.withColumn("first", F.struct(F.col("first.none").alias("none"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "h1"))
+    halves = named.select("first", F.explode("keys").alias("key"))
     wanted = shared(halves, ["key"]).select("first").distinct()
-    per_doc = wanted.groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_set("first.line_no").alias("nos"))
-    # rows that share a doc_id may differ in text: each gives its own line, which is harmless
-    rows = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", F.explode("nos").alias("line_no"), "text", F.split("text", "\n").alias("all"))
-    rows = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no").alias("first"), F.get("all", F.col("line_no")).alias("line"))
-    lines = stored(rows.filter(F.char_length("line") >= LEAST).dropDuplicates(["first", "line"]), "near-lines")
+    per_doc = wanted.groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_set(F.struct("first.line_no", "first.h1")).alias("nos"))
+    rows = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", F.explode("nos").alias("at"), F.split("text", "\n").alias("all"))
+    rows = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at.line_no", "at.h1").alias("first"), F.get("all", F.col("at.line_no")).alias("line"))
+    lines = stored(rows.filter(F.xxhash64("line") == F.col("first.h1")).dropDuplicates(["first"]), "near-lines")
 
     def cut_blocks(batches):
         for batch in batches:
@@ -145,7 +146,7 @@ def near_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
                 k, key, place, n = map(np.concatenate, out)
                 yield pa.RecordBatch.from_arrays([some.column("first").take(pa.array(k)), pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(n, pa.int32())], schema=variant_schema)
 
-    first = "first struct<none: boolean, doc_id: bigint, line_no: int>"
+    first = "first struct<none: boolean, doc_id: bigint, line_no: int, h1: bigint>"
     block_ddl, variant_ddl = f"{first}, block int, w int, key long", f"{first}, key long, place int, n int"
     block_schema, variant_schema = arrow_schema(block_ddl), arrow_schema(variant_ddl)
     cut = shared(lines.mapInArrow(cut_blocks, block_ddl), ["block", "w", "key"])
@@ -156,11 +157,12 @@ def near_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     swaps = variants.join(swapped, ["key", "place", "n"]).select("first", "earliest")
     sides = variants.groupBy("key", "n").agg(F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("cut")).filter("whole is not null and cut is not null")
     grown = variants.join(sides, ["key", "n"]).select("first", F.when(F.col("place") < 0, F.col("cut")).otherwise(F.col("whole")).alias("earliest"))
-    pairs = swaps.union(grown).filter("earliest < first").distinct()
+    place = lambda c: F.struct(F.col(c)["none"], F.col(c)["doc_id"], F.col(c)["line_no"])
+    pairs = swaps.union(grown).filter(place("earliest") < place("first")).distinct()
     a = lines.select("first", F.col("line").alias("line_a"))
     b = lines.select(F.col("first").alias("earliest"), F.col("line").alias("line_b"))
     # places compare by columns, as a null doc_id is a value here
-    keyed = lambda df, c: df.withColumn(f"k_{c}", F.concat_ws(":", F.coalesce(F.col(c)["doc_id"].cast("string"), F.lit("")), F.col(c)["line_no"].cast("string")))
+    keyed = lambda df, c: df.withColumn(f"k_{c}", F.concat_ws(":", F.coalesce(F.col(c)["doc_id"].cast("string"), F.lit("")), F.col(c)["line_no"].cast("string"), F.col(c)["h1"].cast("string")))
     found = keyed(keyed(pairs, "first"), "earliest").join(keyed(a, "first").drop("first"), "k_first").join(keyed(b, "earliest").drop("earliest"), "k_earliest")
     found = found.filter((F.levenshtein("line_a", "line_b", 1) >= 0) & (F.levenshtein("line_a", "line_b", 1) <= 1))
     return found.groupBy("first").agg(F.min("earliest").alias("earliest"))
@@ -177,7 +179,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     near = near_links(docs, firsts)
     flat = firsts.select("h1", "h2", "copies", "first")
     near = near.select(F.col("first").alias("f"), F.lit(True).alias("near"))
-    same = (F.col("first.none") == F.col("f.none")) & F.col("first.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("first.line_no") == F.col("f.line_no"))
+    same = (F.col("h1") == F.col("f.h1")) & (F.col("first.none") == F.col("f.none")) & F.col("first.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("first.line_no") == F.col("f.line_no"))
     bad = flat.join(near, same, "left").filter("copies > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")))
     return rows.join(bad, ["h1", "h2"]).filter(F.col("near") | later).select("doc_id", "line_no", "h1")
