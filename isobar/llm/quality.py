@@ -26,6 +26,7 @@ ROWS, DIM, NONZERO, NEAR = 1 << 14, 64, 4, 2
 #: Rows of the vectors' table in one piece of a sum.
 PIECE = 256
 KEPT = 400_000
+CLIP = 2.5
 CORE = regex.compile(r"\p{L}+|[^\p{L}\s]+").findall
 FEATURES = 2 * DIM + 4
 
@@ -160,22 +161,26 @@ class Network:
     temperature: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
+        return np.tanh(self.scaled(x) @ self.w1 + self.b1) @ self.w2 + self.b2
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Inputs in deviations from the mean, within CLIP, so that odd documents don't run off the learnt range."""
+        return np.clip((x - self.mean) / self.scale, -CLIP, CLIP)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def train(x: np.ndarray, y: np.ndarray, apart: np.ndarray, hidden: int = 32, epochs: int = 40, decay: float = 1e-4) -> Network:
+def train(x: np.ndarray, y: np.ndarray, apart: np.ndarray, hidden: int = 32, updates: int = 4000, decay: float = 1e-4) -> Network:
     """Learns from the rows that aren't apart, by Adam with a fixed seed; the rows apart set the temperature."""
     rng = np.random.default_rng(11)
     own = ~apart if (~apart).any() else np.ones(len(y), bool)
     mean, scale = x[own].mean(axis=0), x[own].std(axis=0) + 1e-3
     net = Network(mean, scale, rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0)
-    z, t = (x[own] - mean) / scale, y[own].astype(float)
+    z, t = net.scaled(x[own]), y[own].astype(float)
     params = [net.w1, net.b1, net.w2, np.zeros(1)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    step = 0
+    step, epochs = 0, -(-updates * 128 // len(t))
     for epoch in range(epochs):
         order = rng.permutation(len(t))
         for at in range(0, len(t), 128):
