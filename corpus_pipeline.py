@@ -1,26 +1,60 @@
-"""The corpus pipeline: stages over documents."""
+"""The corpus pipeline: five stages over documents, each by one operator of the corpus subpackage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm import simhash
+from isobar.llm import bpe, decontaminate, line_dedup, quality, simhash
+from isobar.llm.common import stored
+from isobar.llm.queries import table, word_bpe
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    return simhash.keep_first(docs).select("doc_id", "text", "lang", "source", "n_chars")
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it learns from `labels` and the documents it is given."""
+    return quality.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
-STAGES = [("simhash", near_dedup)]
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier one repeats; n_chars counts the text that is left."""
+    from pyspark.sql import functions as F
+
+    found = line_dedup.dedup(docs)
+    n = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", n).select(*COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the least id."""
+    return simhash.keep_first(docs).select(*COLUMNS)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of `benchmark`."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's ids and their round trip, as digests."""
+    return bpe.encode_decode(docs, word_bpe())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash", near_stage),
+    ("decontaminate", benchmark_stage),
+    ("bpe", token_stage),
+]
+
+#: Trained weights, walks and merges have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES in turn over documents, each one's result written and read again."""
-    from isobar.llm.common import stored
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """STAGES in turn over documents, each result written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
