@@ -53,7 +53,7 @@ class Seasons:
             names = {m: k + 1 for k, m in enumerate(MONTHS)}
             custom, seen = {}, []
             for season in given["custom_seasons"]:
-                months = [names.get(m[:3].capitalize() if m.capitalize() in LONG else "") for m in season]
+                months = [names.get(m.capitalize()[:3] if m.capitalize() in LONG else m.capitalize()) for m in season]
                 if None in months:
                     raise ValueError(f"{season} has a name that is no month.")
                 seen += months

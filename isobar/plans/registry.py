@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import temporal_queries
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+QUERIES = {**temporal_queries.QUERIES}
+SQL = {**temporal_queries.SQL}
