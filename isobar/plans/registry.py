@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import temporal_queries
+from . import grid_queries, temporal_queries
 
-QUERIES = {**temporal_queries.QUERIES}
-SQL = {**temporal_queries.SQL}
+QUERIES = {**temporal_queries.QUERIES, **grid_queries.QUERIES}
+SQL = {**temporal_queries.SQL, **grid_queries.SQL}
