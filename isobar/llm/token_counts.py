@@ -1,10 +1,10 @@
-"""Token counts that follow edits: a segment tree of pre-tokens per document.
+"""Token counts that follow edits: a segment tree over the pre-tokens of a document.
 
-Leaves hold runs of chunks (what stands between white space, with the white
-space after it); no pre-token crosses a chunk's border, so a chunk's count
-stands alone. Inner nodes hold the characters and tokens below them. An edit
-goes down by characters, encodes anew only the chunks it touches and the one
-before and after, and updates the sums on the paths of the touched leaves.
+Leaves hold short stretches of text cut after white space, which no pre-token
+crosses, with their numbers of tokens; inner nodes hold the characters and
+tokens below them. An edit goes down by characters, encodes only the chunks
+(what stands between white space) that it touches and those beside them, and
+updates the sums on the paths of the touched leaves.
 """
 
 from __future__ import annotations
@@ -16,43 +16,54 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import map_batches, texts
 
-#: Chunks of a leaf when a tree is built.
-LEAF = 32
-CHUNK = regex.compile(r"\S+\s*|\s+").findall
+#: Characters of a leaf, at least.
+LEAF = 256
+SPACE = regex.compile(r"\s")
+
+
+def cut(text: str) -> list[str]:
+    """Stretches of LEAF characters and what is left to the next white space."""
+    out, at, n = [], 0, len(text)
+    while n - at > LEAF and (m := SPACE.search(text, at + LEAF)):
+        out.append(text[at : m.end()])
+        at = m.end()
+    out.append(text[at:])
+    return out
 
 
 class TokenTree:
-    """A text's chunks and token counts; count(list of chunks) gives their numbers of tokens."""
+    """A text's stretches and their tokens; count(text) gives numbers of tokens and chunks."""
 
     def __init__(self, text: str, count):
         self.count = count
         self.encoded = 0
-        self.build(CHUNK(text))
-
-    def build(self, chunks: list[str], counts: list[int] | None = None) -> None:
-        counts = self.count(chunks) if counts is None else counts
-        n = max(1, -(-len(chunks) // LEAF))
-        self.chunks = [chunks[k * LEAF : (k + 1) * LEAF] for k in range(n)]
-        self.counts = [counts[k * LEAF : (k + 1) * LEAF] for k in range(n)]
+        leaves = cut(text)
+        counts = [count(x) for x in leaves]
+        self.n_chunks = sum(c for _, c in counts)
+        self.build(leaves, [t for t, _ in counts])
+
+    def build(self, leaves: list[str], counts: list[int]) -> None:
+        self.leaves = leaves
+        n = len(leaves)
         self.top = 1 << (n - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.top), [0] * (2 * self.top)
-        for k in range(n):
-            self.chars[self.top + k], self.tokens[self.top + k] = sum(map(len, self.chunks[k])), sum(self.counts[k])
-        for k in range(self.top - 1, 0, -1):
-            self.join(k)
-
-    def join(self, k: int) -> None:
-        self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
+        empty = [0] * (self.top - n)
+        chars, tokens = [*map(len, leaves), *empty], [*counts, *empty]
+        levels = [(chars, tokens)]
+        while len(chars) > 1:
+            chars, tokens = ([a + b for a, b in zip(x[::2], x[1::2])] for x in (chars, tokens))
+            levels.append((chars, tokens))
+        self.chars = [0, *(x for c, _ in reversed(levels) for x in c)]
+        self.tokens = [0, *(x for _, t in reversed(levels) for x in t)]
 
     @property
     def n_tokens(self) -> int:
         return self.tokens[1]
 
     def text(self) -> str:
-        return "".join(c for x in self.chunks for c in x)
+        return "".join(self.leaves)
 
-    def find(self, at: int) -> tuple[int, int, int]:
-        """Leaf, chunk in it, and start of the chunk that holds character at, or of the last one."""
+    def find(self, at: int) -> tuple[int, int]:
+        """The leaf that holds character at, or the last one, and its start."""
         k, start = 1, 0
         at = max(0, min(at, self.chars[1] - 1))
         while k < self.top:
@@ -60,65 +71,71 @@ class TokenTree:
             if at >= start + self.chars[k]:
                 start += self.chars[k]
                 k += 1
-        leaf = k - self.top
-        for j, c in enumerate(self.chunks[leaf]):
-            if at < start + len(c):
-                break
-            start += len(c)
-        return leaf, j, start
+        return k - self.top, start
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces characters start to end by new; positions beyond the text are its end."""
         total = self.chars[1]
         start = max(0, min(start, total))
         end = max(start, min(end, total))
-        if not total:
-            self.encoded += len(x := CHUNK(new))
-            self.build(x)
-            return
-        first, i, origin = self.find(start - 1)  # with what stands before
-        last, j, at = self.find(end)  # and what comes after
-        touched = [c for k in range(first, last + 1) for c in self.chunks[k][i if k == first else 0 : j + 1 if k == last else None]]
-        old = "".join(touched)
-        chunks = CHUNK(old[: start - origin] + new + old[end - origin :])
-        counts = self.count(chunks)
-        self.encoded += len(chunks)
-        rest = self.chunks[last][j + 1 :], self.counts[last][j + 1 :]
-        if first == last:
-            chunks, counts = chunks + rest[0], counts + rest[1]
-        else:
-            self.chunks[last], self.counts[last] = rest
-        for k in range(first + 1, last):
-            self.chunks[k], self.counts[k] = [], []
-        self.chunks[first], self.counts[first] = self.chunks[first][:i] + chunks, self.counts[first][:i] + counts
-        if len(self.chunks[first]) > 8 * LEAF:
-            self.build([c for x in self.chunks for c in x], [c for x in self.counts for c in x])
+        first, origin = self.find(start - 1)  # with what stands before
+        last, _ = self.find(end)  # and what comes after
+        old = "".join(self.leaves[first : last + 1])
+        left, right = start - origin, end - origin
+        low = max(0, left - 1)
+        while low and not old[low - 1].isspace():
+            low -= 1
+        while low and SPACE.match(old, low - 1) is None:  # isspace() knows more letters than the tokenizer
+            low -= 1
+        m = SPACE.search(old, right)
+        high = m.end() if m else len(old)
+        fresh = old[low:left] + new + old[right:high]
+        tokens, chunks = self.count(fresh)
+        self.encoded += chunks
+        tokens += sum(self.tokens[self.top + first : self.top + last + 1]) - self.count(old[low:high])[0]
+        text = old[:low] + fresh + old[high:]
+        if len(text) > 8 * LEAF and len(parts := cut(text)) > 1:
+            leaves = self.leaves[:first] + parts + self.leaves[last + 1 :]
+            counts = self.tokens[self.top : self.top + first] + [self.count(x)[0] for x in parts] + self.tokens[self.top + last + 1 : self.top + len(self.leaves)]
+            self.build(leaves, counts)
             return
-        dirty = set(range(self.top + first, self.top + last + 1))
-        for k in dirty:
-            self.chars[k], self.tokens[k] = sum(map(len, self.chunks[k - self.top])), sum(self.counts[k - self.top])
+        at = self.top + first
+        self.leaves[first] = text
+        self.chars[at], self.tokens[at] = len(text), tokens
+        for k in range(first + 1, last + 1):
+            self.leaves[k] = ""
+            self.chars[self.top + k] = self.tokens[self.top + k] = 0
+        dirty = set(range(at, self.top + last + 1))
         while dirty := {k // 2 for k in dirty if k > 1}:
             for k in dirty:
-                self.join(k)
+                self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
+                self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
 
 
 class Counter:
-    """Numbers of tokens of chunks, by the encoder of bpe."""
+    """Numbers of tokens and chunks of a text, by the encoder of bpe; counts of chunks are kept."""
 
     def __init__(self, path: str):
         self.encoder = bpe.encoder(path)
         self.known: dict[str, int] = {}
 
-    def __call__(self, chunks: list[str]) -> list[int]:
-        known = self.known
-        if new := {c for c in chunks if c not in known}:
-            if len(known) + len(new) > bpe.KEPT:
-                known.clear()
-                new = set(chunks)
-            order = list(new)
-            for c, ids in zip(order, self.encoder.encode_batch(order)):
-                known[c] = len(ids) // 4
-        return [known[c] for c in chunks]
+    def learn(self, some: list[str]) -> None:
+        """Counts the chunks of several texts that aren't known yet at once."""
+        chunks = set().union(*map(self.encoder.pieces.chunks, some))
+        new = [c for c in chunks if c not in self.known]
+        if len(self.known) + len(new) > bpe.KEPT:
+            self.known, new = {}, [*chunks]
+        self.encoder.learn(set(new))
+        of = self.encoder.known
+        self.known.update((c, len(of[c]) >> 2) for c in new)
+
+    def __call__(self, text: str) -> tuple[int, int]:
+        chunks = self.encoder.pieces.chunks(text)
+        try:
+            return sum(map(self.known.__getitem__, chunks)), len(chunks)
+        except KeyError:
+            self.learn([text])
+            return sum(map(self.known.__getitem__, chunks)), len(chunks)
 
 
 def edits_of(n: int) -> list[tuple[int, int, str]]:
@@ -140,13 +157,13 @@ def count_edited(docs: DataFrame, tokenizer: str, edits=edits_of, id_col: str =
             rows, all_texts = [], texts(batch)
             for at in range(0, len(all_texts), 256):
                 some = all_texts[at : at + 256]
-                count([*set().union(*map(CHUNK, some))])  # new chunks of many texts at once
+                count.learn(some)
                 for text in some:
                     tree = TokenTree(text, count)
-                    n, chunks = tree.n_tokens, sum(map(len, tree.chunks))
+                    n = tree.n_tokens
                     for edit in edits(len(text)):
                         tree.edit(*edit)
-                    rows.append((n, tree.n_tokens, chunks, tree.encoded, tree.text() if keep else None))
+                    rows.append((n, tree.n_tokens, tree.n_chunks, tree.encoded, tree.text() if keep else None))
             return {"doc_id": batch.column("doc_id")} | dict(zip(("n_tokens", "n_edited", "n_chunks", "n_encoded", "edited"), map(list, zip(*rows))))
 
         return step
