@@ -252,7 +252,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, id_col: s
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2) -> DataFrame:
-    """docs that hold no benchmark item, all columns kept; null ids: such a row stays unless a match has a null id too."""
-    hit = matches(docs, benchmark, edits).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, text_col: str = "text") -> DataFrame:
+    """docs that hold no benchmark item, all columns and repeated rows kept; ids don't matter, and null texts stay."""
+    schema = docs.schema
+    arrow = arrow_schema(schema)
+    for index in blocks(benchmark, edits):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [not index.find(np.frombuffer(index.rows(t), "<u4").astype(np.int64)) for t in texts(batch, text_col)]
+                if any(clean):
+                    yield pa.RecordBatch.from_arrays(batch.filter(pa.array(clean)).columns, schema=arrow)
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -17,10 +17,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, map_batches, stored
+from .common import arrow_schema, components, map_batches, stored, whole_text
 
 BITS = 64
 SEED = 42
@@ -197,16 +197,21 @@ def block_masks(radius: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """One row (doc_id, fp) for each row of docs; null text is empty, and empty texts have fingerprint zero."""
+    """One row (doc_id, text_hash, fp) for each row of docs; null text is empty, and empty texts have fingerprint zero."""
 
     def make():
         def step(batch):
             found = (fingerprint(x or b"", width) for x in batch.column("text").to_pylist())
-            return {"doc_id": batch.column("doc_id"), "fp": pa.array(np.fromiter(found, np.uint64, batch.num_rows).view(np.int64))}
+            return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(np.fromiter(found, np.uint64, batch.num_rows).view(np.int64))}
 
         return step
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), make, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    return map_batches(rows, make, "doc_id long, text_hash long, fp long")
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(whole_text(text_col))
 
 
 def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -231,21 +236,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     non-null id of their group, or null. Repeated rows give repeated rows; an
     empty table gives none. Only the two named columns of docs are read.
     """
+    prints, known = groups(docs, id_col, text_col, width, radius)
+    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def groups(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of rows, and per distinct fingerprint its group's least doc_id and least text_hash of rows without an id."""
     prints = stored(fingerprints(docs, id_col, text_col, width), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("first_hash"))
     roots = components(near_links(distinct.select("fp"), radius), "simhash-links").withColumnRenamed("node", "fp")
     known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = stored(known, "simhash-roots")
-    least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(known.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    least = known.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first_hash").alias("least_hash"))
+    return prints, known.join(least, "root").select("fp", "component_id", "least_hash")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """docs without near-duplicates: of each group the document with the least id stays, with all its columns.
 
-    doc_id names a document: of rows that share one, one stays. A group whose
-    ids are all null keeps none but its rows that stand alone.
+    doc_id names a document: of rows that share one, one stays. Of a group
+    whose ids are all null the text of the least hash stays, once.
     """
-    found = near_duplicates(docs, id_col, text_col, width, radius)
+    prints, known = groups(docs, id_col, text_col, width, radius)
+    found = prints.join(known, "fp")
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    kept = found.filter("component_id is null and text_hash = least_hash").select(F.col("text_hash").alias("_hash")).distinct()
+    nameless = docs.filter(F.col(id_col).isNull()).withColumn("_hash", text_hash(text_col))
+    return named.unionByName(nameless.join(kept, "_hash", "left_semi").dropDuplicates(["_hash"]).drop("_hash"))

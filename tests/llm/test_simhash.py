@@ -64,5 +64,8 @@ def test_tiles_lose_no_link(spark, monkeypatch):
 def test_empty_table_and_stage(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
-    docs = spark.createDataFrame([(i, t) for i, t in ROWS if i is not None], "doc_id long, text string")
-    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == {r[2] for r in brute([r for r in ROWS if r[0] is not None])}
+    docs = spark.createDataFrame([(i, t, 3) for i, t in [*ROWS, (None, "nobody else has this text at all")]], "doc_id long, text string, text_hash int")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted({r[2] for r in brute(ROWS) if r[2] is not None})
+    assert [r.text for r in got.collect() if r.doc_id is None] == ["nobody else has this text at all"]
