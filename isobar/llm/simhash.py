@@ -7,6 +7,11 @@ fingerprints stand as bit planes (64 lanes a word); the distances of all lanes
 are counted at once by a carry-save counter, plane after plane, and a block of
 lanes is abandoned once every lane has passed the radius. Buckets report a
 spanning forest, never all pairs, and components() joins the forests.
+
+For groups by a similarity of shingle sets, where fingerprints lie further
+apart than blocks of bits can find, candidates come from buckets of pairs of
+least hashes instead; the same comparison keeps those within a wide radius, and
+sketches of least hashes judge what is left.
 """
 
 from __future__ import annotations
@@ -26,25 +31,33 @@ BITS = 64
 SEED = 42
 #: Fingerprints of one tile; a larger bucket is cut into pairs of tiles.
 TILE = 2048
+#: Least hashes of a sketch, one byte of each; buckets by two of them.
+LEAST, BANDS = 128, 8
+#: A sketch's share of equal bytes may fall short of the similarity by about 1.4 deviations.
+SLACK = 0.05
+#: Radius within which sketches are looked at: at a similarity of 0.8 fingerprints differ by 10 bits, with a deviation of 3.
+WIDE = 16
 #: Buckets of up to so many fingerprints are compared together, lag by lag.
 SMALL = 48
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """SimHash of a text's bytes: A-Z lowered, words between ASCII white space, shingles of width words, repeats kept.
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of a text's shingles: A-Z lowered, words between ASCII white space, width words each, repeats kept.
 
-    No word: zero. Fewer words than width: their whole sequence is the one shingle.
+    Fewer words than width: their whole sequence is the one shingle.
     """
     words = text.lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] * bool(words), np.uint64)
     ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends)]
     of = xxhash.xxh64_intdigest
-    hashes = np.fromiter((of(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :])), np.uint64, len(words) - width + 1)
+    return np.fromiter((of(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :])), np.uint64, len(words) - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have; zero without hashes."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -52,6 +65,30 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """SimHash of a text's bytes; a text without words has zero."""
+    return majority(shingle_hashes(text, width))
+
+
+FACTORS = np.random.default_rng(3).integers(1 << 32, 1 << 63, LEAST).astype(np.uint64) | np.uint64(1)
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of LEAST multipliers; all ones without hashes."""
+    out = np.full(LEAST, ~np.uint64(0))
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048, None] * FACTORS
+        np.minimum(out, part.min(axis=0), out=out)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A bucket for each of BANDS pairs of least hashes."""
+    a, b = least[: 2 * BANDS : 2], least[1 : 2 * BANDS : 2]
+    key = (a ^ (b * FACTORS[0] >> np.uint64(7))) * FACTORS[1 : BANDS + 1]
+    return (key ^ key >> np.uint64(29)).view(np.int64)
+
+
 def planes(prints: np.ndarray) -> np.ndarray:
     """Bit planes of fingerprints: row b has bit b of all, 64 lanes a word."""
     lanes = -(-len(prints) // 64) * 64
@@ -101,8 +138,8 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def links_of_large(prints: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
-    """Roots within one bucket or pair of tiles: with two sides, only links between them count."""
+def links_of_large(prints: np.ndarray, side: np.ndarray, radius: int, alike=None) -> np.ndarray:
+    """Roots within one bucket or pair of tiles: with two sides, only links between them count; alike(i, j) judges links further."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(right) or not len(left):
         left = right = np.arange(len(prints))
@@ -117,12 +154,15 @@ def links_of_large(prints: np.ndarray, side: np.ndarray, radius: int) -> np.ndar
             found = within(lambda b, w=w: low[b, w : w + 16] ^ masks[b], np.broadcast_to(alive[w : w + 16], (len(own), len(alive[w : w + 16]))), radius)
             if found.any():
                 i, j = np.nonzero(lanes(found))
-                links = spanning(len(prints), np.r_[left[at + i], np.arange(len(prints))], np.r_[right[w * 64 + j], root])
-                root = links
+                i, j = left[at + i], right[w * 64 + j]
+                if alike:
+                    ok = alike(i, j)
+                    i, j = i[ok], j[ok]
+                root = spanning(len(prints), np.r_[i, np.arange(len(prints))], np.r_[j, root])
     return root
 
 
-def links_of_small(prints: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
+def links_of_small(prints: np.ndarray, ends: np.ndarray, radius: int, alike=None) -> np.ndarray:
     """Roots of many small buckets at once; ends: for each fingerprint where its bucket ends."""
     n, found = len(prints), []
     own = planes(prints)
@@ -142,16 +182,23 @@ def links_of_small(prints: np.ndarray, ends: np.ndarray, radius: int) -> np.ndar
             hit = within(lambda b, w=w: low[b, w : w + 64] ^ other[b, w : w + 64], live[w : w + 64], radius)
             if hit.any():
                 i = some[w * 64 + np.flatnonzero(lanes(hit))]
+                i = i[alike(i, i + lag)] if alike else i
                 found.append((i, i + lag))
     a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int),) * 2
     return spanning(n, a, b)
 
 
-def compare_runs(radius: int):
-    """For sorted batches of (bucket, side, fp): batches of links (a, b), runs never cut."""
+def compare_runs(radius: int, share: float | None = None):
+    """For sorted batches of (bucket, side, fp and, with a share, sketch): batches of links (a, b), runs never cut.
+
+    share: what part of their sketches' bytes linked rows have in common at least.
+    """
     out = arrow_schema("a long, b long")
 
-    def forest(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def judge(sketch: np.ndarray | None):
+        return None if share is None else lambda i, j: np.concatenate([np.empty(0, bool), *((sketch[i[at : at + 4096]] == sketch[j[at : at + 4096]]).mean(axis=1) >= share for at in range(0, len(i), 4096))])
+
+    def forest(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray, sketch: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         sizes = np.diff(np.r_[starts, len(bucket)])
         pairs = []
@@ -159,12 +206,12 @@ def compare_runs(radius: int):
         if small.any():
             ends = np.repeat(np.cumsum(np.where((sizes > 1) & (sizes <= SMALL), sizes, 0)), sizes)[small]
             own = prints[small]
-            root = links_of_small(own, ends, radius)
+            root = links_of_small(own, ends, radius, judge(sketch if sketch is None else sketch[small]))
             m = np.flatnonzero(root != np.arange(len(own)))
             pairs.append((own[m], own[root[m]]))
         for s, k in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
             own = prints[s : s + k]
-            root = links_of_large(own, side[s : s + k], radius)
+            root = links_of_large(own, side[s : s + k], radius, judge(sketch if sketch is None else sketch[s : s + k]))
             m = np.flatnonzero(root != np.arange(k))
             pairs.append((own[m], own[root[m]]))
         for a, b in pairs:
@@ -175,15 +222,17 @@ def compare_runs(radius: int):
         held: list[np.ndarray] | None = None
         for batch in batches:
             new = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("bucket", "side", "fp")]
+            if share is not None:
+                new.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, LEAST))
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             if not len(held[0]):
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on
             if cut:
-                yield from forest(held[0][:cut], held[1][:cut], held[2][:cut].view(np.uint64))
+                yield from forest(held[0][:cut], held[1][:cut], held[2][:cut].view(np.uint64), *(x[:cut] for x in held[3:]))
                 held = [x[cut:] for x in held]
         if held is not None and len(held[0]):
-            yield from forest(held[0], held[1], held[2].view(np.uint64))
+            yield from forest(held[0], held[1], held[2].view(np.uint64), *held[3:])
 
     return run
 
@@ -210,6 +259,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(rows, make, "doc_id long, text_hash long, fp long")
 
 
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """fingerprints() with sketch (a byte of each least hash) and bands (buckets)."""
+
+    def make():
+        def step(batch):
+            fp, sketch, bands = [], [], []
+            for text in batch.column("text").to_pylist():
+                hashes = shingle_hashes(text or b"", width)
+                least = least_hashes(hashes)
+                fp.append(majority(hashes))
+                sketch.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
+                bands.append(band_keys(least))
+            return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(np.array(fp, np.uint64).view(np.int64)), "sketch": sketch, "bands": bands}
+
+        return step
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    return map_batches(rows, make, "doc_id long, text_hash long, fp long, sketch binary, bands array<long>")
+
+
 def text_hash(text_col: str) -> Column:
     return F.xxhash64(whole_text(text_col))
 
@@ -222,11 +291,29 @@ def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """
     rows = prints.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(block_masks(radius))))).alias("bucket"))
     hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
-    cut = rows.join(hot, "bucket", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int"))
+    tiles = tiled(rows.join(hot, "bucket", "left"))
+    return tiles.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(compare_runs(radius), "a long, b long")
+
+
+def tiled(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, fp, n) as (bucket, side, fp): a bucket of n over TILE as pairs of tiles, each a bucket of two sides."""
+    cut = rows.withColumn("k", F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64(F.col("fp"), F.lit("tile")), F.col("k")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    tiles = cut.select(F.when(F.col("k") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).alias("bucket"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
-    return tiles.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(compare_runs(radius), "a long, b long")
+    return cut.select(F.when(F.col("k") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).alias("bucket"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
+
+
+def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between distinct fingerprints of prints (fp, sketch, bands) whose shingle sets are alike.
+
+    Fingerprints that share a pair of least hashes are compared within WIDE
+    bits and then by sketch; rows carry sketches only once their bucket is
+    known to hold two of them.
+    """
+    rows = prints.select("fp", F.explode("bands").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    tiles = tiled(rows.join(sizes, "bucket")).join(prints.select("fp", "sketch"), "fp")
+    return tiles.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(compare_runs(WIDE, similarity - SLACK), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -236,29 +323,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     non-null id of their group, or null. Repeated rows give repeated rows; an
     empty table gives none. Only the two named columns of docs are read.
     """
-    prints, known = groups(docs, id_col, text_col, width, radius)
+    prints = stored(fingerprints(docs, id_col, text_col, width), "simhash")
+    known = groups(prints, lambda distinct: near_links(distinct.select("fp"), radius))
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def groups(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints of rows, and per distinct fingerprint its group's least doc_id and least text_hash of rows without an id."""
-    prints = stored(fingerprints(docs, id_col, text_col, width), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("first_hash"))
-    roots = components(near_links(distinct.select("fp"), radius), "simhash-links").withColumnRenamed("node", "fp")
-    known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def groups(prints: DataFrame, link) -> DataFrame:
+    """Per distinct fingerprint of stored prints its group's least doc_id and least text_hash of rows without an id."""
+    more = [c for c in prints.columns if c in ("sketch", "bands")]
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("first_hash"), *([F.min(F.struct(*more)).alias("m")] if more else []))
+    if more:  # texts of one fingerprint share a sketch, the least of theirs
+        distinct = stored(distinct.select("fp", "first_id", "first_hash", "m.*"), "simhash-distinct")
+    roots = components(link(distinct), "simhash-links").withColumnRenamed("node", "fp")
+    known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop(*more)
     known = stored(known, "simhash-roots")
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first_hash").alias("least_hash"))
-    return prints, known.join(least, "root").select("fp", "component_id", "least_hash")
+    return known.join(least, "root").select("fp", "component_id", "least_hash")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each group the document with the least id stays, with all its columns.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near-duplicates: of each group of texts of like shingle sets the document with the least id stays, with all its columns.
 
+    Links are pairs whose sets of width-word shingles have a Jaccard
+    similarity of about `similarity` or more, by sketches of LEAST hashes.
     doc_id names a document: of rows that share one, one stays. Of a group
-    whose ids are all null the text of the least hash stays, once.
+    whose ids are all null the text of the least hash stays, once. Null texts
+    and texts without words are one group.
     """
-    prints, known = groups(docs, id_col, text_col, width, radius)
-    found = prints.join(known, "fp")
+    prints = stored(sketches(docs, id_col, text_col, width), "simhash")
+    found = prints.join(groups(prints, lambda distinct: similar_links(distinct, similarity)), "fp")
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     kept = found.filter("component_id is null and text_hash = least_hash").select(F.col("text_hash").alias("_hash")).distinct()
