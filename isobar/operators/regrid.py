@@ -278,17 +278,9 @@ def by_method(ds: GridDataset, var: str, grid: Grid, method: str | None, periodi
     m = nan_mask(ds, var) if create_nan_mask else mask
     ny, nx = len(ty), len(tx)
     sy, sx = y.values, x.values
-    if method in ("conservative", "conservative_normed"):
-        ly, lx = latitude_links(ty, y), longitude_links(tx, x)
-        if method == "conservative":  # shares of the whole target cell
-            (ylo, yhi), (xlo, xhi) = ordered(ty), ordered(tx)
-            ly, lx = (ly[0], ly[1], ly[2] / (sine(yhi) - sine(ylo))[ly[0]]), (lx[0], lx[1], lx[2] / (xhi - xlo)[lx[0]])
-        fact = separable(ds, var, [(x, tx, lx), (y, ty, ly)], m, normalise=method != "conservative")
-        covered = np.isin(np.arange(ny), ly[0])[:, None] & np.isin(np.arange(nx), lx[0])[None, :]
-    elif method in ("bilinear", "patch"):
-        of = linear_links if method == "bilinear" else patch_links
-        ly, lx = of(ty.values, sy), of(tx.values, sx, 360.0 if periodic else None)
-        fact = separable(ds, var, [(x, tx, lx), (y, ty, ly)], m, normalise=False)
+    if method not in ("nearest_s2d", "nearest_d2s"):
+        ly, lx = method_links(y, x, ty, tx, method, periodic)
+        fact = separable(ds, var, [(x, tx, lx), (y, ty, ly)], m, normalise=method == "conservative_normed")
         covered = np.isin(np.arange(ny), ly[0])[:, None] & np.isin(np.arange(nx), lx[0])[None, :]
     elif method == "nearest_s2d":
         best, _ = nearest_cells(ty.values, tx.values, sy, sx)
@@ -306,6 +298,37 @@ def by_method(ds: GridDataset, var: str, grid: Grid, method: str | None, periodi
     return placed(ds, var, fact, {y.name: ty, x.name: tx}, not unmapped_to_nan, "xesmf", method)
 
 
+def method_links(y: Axis, x: Axis, ty: Axis, tx: Axis, method: str, periodic: bool = False) -> tuple[Links, Links]:
+    """Links along Y and X of a method that goes by axis."""
+    if method in ("conservative", "conservative_normed"):
+        ly, lx = latitude_links(ty, y), longitude_links(tx, x)
+        if method == "conservative":  # shares of the whole target cell
+            (ylo, yhi), (xlo, xhi) = ordered(ty), ordered(tx)
+            ly, lx = (ly[0], ly[1], ly[2] / (sine(yhi) - sine(ylo))[ly[0]]), (lx[0], lx[1], lx[2] / (xhi - xlo)[lx[0]])
+        return ly, lx
+    of = linear_links if method == "bilinear" else patch_links
+    return of(ty.values, y.values), of(tx.values, x.values, 360.0 if periodic else None)
+
+
+def method_weights(ds: GridDataset, var: str, grid: Grid, method: str, periodic: bool = False) -> DataFrame:
+    """The sparse weights (y_out, x_out, y_in, x_in, weight) of a method, of all its targets."""
+    y, x = ds.axis_of("Y", var), ds.axis_of("X", var)
+    ty, tx = grid.axis("Y"), grid.axis("X")
+    if method in ("nearest_s2d", "nearest_d2s"):
+        back = method == "nearest_d2s"
+        best = (nearest_cells(y.values, x.values, ty.values, tx.values) if back else nearest_cells(ty.values, tx.values, y.values, x.values))[0].ravel()
+        every = np.arange(len(best))
+        to, source = (best, every) if back else (every, best)
+        columns = {"y_out": to // len(tx), "x_out": to % len(tx), "y_in": source // len(x), "x_in": source % len(x)}
+        return axis_frame(ds.spark, "_k", {k: v.astype(np.int32) for k, v in columns.items()} | {"weight": np.ones(len(to))}).drop("_k")
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}, not {method!r}.")
+    ly, lx = method_links(y, x, ty, tx, method, periodic)
+    a = links_frame(ds, "y_out", "y_in", ly).withColumnRenamed("_w", "_wy")
+    b = links_frame(ds, "x_out", "x_in", lx).withColumnRenamed("_w", "_wx")
+    return a.crossJoin(F.broadcast(b)).select("y_out", "x_out", "y_in", "x_in", (F.col("_wy") * F.col("_wx")).alias("weight"))
+
+
 def extrapolation(ty, tx, sy, sx, missing: np.ndarray, method: str, power: float, points: int) -> Links:
     """Links of uncovered targets to their nearest source, or to several by inverse distance."""
     if method == "nearest_s2d":
@@ -370,6 +393,17 @@ def vertical(ds: GridDataset, var: str, grid: Grid, method: str = "linear", targ
     return placed(ds, var, fact, {z.name: tz}, False, "xgcm", method)
 
 
+def grid_position(a: Axis) -> str:
+    """Where a Z axis's points stand in their cells: center, left or right, by the first point."""
+    lo, hi = bounds_of(a)
+    x, low, high = a.values[0], min(lo[0], hi[0]), max(lo[0], hi[0])
+    if np.isclose(x, (low + high) / 2):
+        return "center"
+    if x == lo[0] or x == hi[0]:
+        return "left" if x == lo[0] else "right"
+    raise RuntimeError(f"The points of {a.name!r} are neither centres nor edges of their bounds.")
+
+
 def by_segments(ds: GridDataset, var: str, z: Axis, tz: Axis, method: str, level: str) -> GridDataset:
     """Interpolation at tz's values of the variable level, between neighbours of each column.
 

@@ -243,6 +243,11 @@ LINEAR = f"""with {ORDERS}, {POINT_TABLES},
   r as (select t, fy.i, fx.j, sum(fy.w * fx.w * v) as v, count(v) as c from cube join fy on cube.y = fy.y join fx on cube.x = fx.x group by t, fy.i, fx.j)
   select t, r.i as y, r.j as x, round(r.v + {NUDGE}, 6) as v from r join need using (i, j) where c = n"""
 add("horizontal_bilinear", horizontal(POINTS, method="bilinear"), LINEAR)
+add(
+    "bilinear_weights",
+    lambda s, d: regrid.method_weights(cubes.orders_cube(s, d), "v", POINTS, "bilinear").withColumn("weight", F.round("weight", 9)),
+    LINEAR.split(",\n  need as")[0] + " select fy.i as y_out, fx.j as x_out, fy.y as y_in, fx.x as x_in, round(fy.w * fx.w, 9) as weight from fy, fx",
+)
 add("horizontal_bilinear_periodic", horizontal(POINTS, method="bilinear", periodic=True))
 add("horizontal_patch", horizontal(POINTS, method="patch"))
 add("horizontal_idw", horizontal(POINTS, method="bilinear", extrap_method="inverse_dist", extrap_num_src_pnts=4))

@@ -172,3 +172,26 @@ def test_polygon(spark):
     square = [np.array([[100.0, -40], [170, -40], [170, 40], [100, 40]])]
     got = {(r.lat_idx, r.lon_idx) for r in M.polygon_mask(ds, "ts", square).collect() if r["mask"]}
     assert got == {(1, 1)}
+
+
+@pytest.mark.parametrize("method", R.METHODS)
+def test_weights_apply_as_the_method(spark, method):
+    data = np.arange(6.0).reshape(3, 2)
+    ds = dataset(spark, [COARSE_Y, COARSE_X], data)
+    grid = G.Grid(x=FINE_X, y=FINE_Y)
+    out = np.zeros((4, 4))
+    total = np.zeros((4, 4))
+    for r in R.method_weights(ds, "ts", grid, method).collect():
+        out[r.y_out, r.x_out] += r.weight * data[r.y_in, r.x_in]
+        total[r.y_out, r.x_out] += r.weight
+    if method == "conservative_normed":
+        out = out / total
+    out[total == 0] = np.nan
+    assert array(R.horizontal(ds, "ts", grid, method=method)) == pytest.approx(out, nan_ok=True)
+
+
+def test_positions():
+    assert R.grid_position(Z) == "center"
+    assert R.grid_position(Z.with_(values=Z.lo)) == "left" and R.grid_position(Z.with_(values=Z.hi)) == "right"
+    with pytest.raises(RuntimeError):
+        R.grid_position(Z.with_(values=Z.values + 10))

@@ -8,6 +8,7 @@ from isobar.operators import compare
 from isobar.plans.model import Axis, from_table, axis_from
 from isobar.sources import dataset as D
 from isobar.sources import timecodec
+from isobar.sources.samples import open_sample
 from isobar.streaming.windows import windowed_average
 
 from .helpers import LAT, LON, TIME, array, dataset
@@ -175,3 +176,10 @@ def test_windows(spark, tmp_path):
     query.awaitTermination()
     got = sorted((r.start.day, r.cell, r.v, r.n) for r in spark.table("win").collect())
     assert got == [(1, 1, 3.0, 2), (2, 1, None, 0)] == sorted((r.start.day, r.cell, r.v, r.n) for r in windowed_average(df, "ts", "v", ("cell",)).collect())
+
+
+def test_samples(spark):
+    ds = open_sample(spark, "levels")
+    assert ds.variables["ts"] == ("time", "lev", "lat", "lon") and ds.fact.count() == 12 * 10 * 36 * 72 and ds.axes["time"].has_bounds()
+    with pytest.raises(ValueError):
+        open_sample(spark, "none")
