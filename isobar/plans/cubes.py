@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bounds import time_bounds
-from .model import Axis, GridDataset, axis_frame, axis_from
+from .model import Axis, GridDataset, axis_frame, axis_from, micros
 
 NY, NX = 6, 8
 
@@ -33,11 +33,10 @@ def cube(df: DataFrame, t: str, key: str, value: str, unit: str, freq: str, name
     cells = df.select(at.alias("time"), (k % NY).cast("int").alias("lat_idx"), (F.floor(k / NY) % NX).cast("int").alias("lon_idx"), F.col(value).cast("double").alias(name))
     cells = cells.groupBy("time", "lat_idx", "lon_idx").agg(F.avg(name).alias(name))
     time = time_bounds(axis_from(df.select(at.alias("time")), "time", {"axis": "T"}), freq, 24 if unit == "hour" else 1 if unit == "day" else None)
-    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', time)")
     from .model import axis_frame
 
     small = axis_frame(df.sparkSession, "time_idx", {"_us": time.values})
-    fact = cells.join(F.broadcast(small), us == F.col("_us")).select("time_idx", "lat_idx", "lon_idx", name)
+    fact = cells.join(F.broadcast(small), micros("time") == F.col("_us")).select("time_idx", "lat_idx", "lon_idx", name)
     return GridDataset(fact, {"time": time, "lat": lat_axis(), "lon": lon_axis()}, {name: ("time", "lat", "lon")})
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendars
@@ -176,11 +176,17 @@ def from_table(df: DataFrame, axes: list[Axis], variables: list[str], attrs: dic
     return GridDataset(fact, {a.name: a for a in axes}, {v: tuple(a.name for a in axes) for v in variables}, attrs or {})
 
 
+def micros(time: str) -> Column:
+    """Microseconds from 1970-01-01 of a timestamp's date and clock; no time zone has a say, as timestampdiff would let it."""
+    t = f"cast({time} as timestamp_ntz)"
+    return F.expr(f"datediff(cast({t} as date), date'1970-01-01') * 86400000000L + (hour({t}) * 60 + minute({t})) * 60000000L + cast(extract(SECOND FROM {t}) * 1000000 as bigint)")
+
+
 def axis_from(df: DataFrame, name: str, attrs: dict | None = None, calendar: str | None = None) -> Axis:
     """The distinct values of a column, ascending, as an axis; timestamps become decoded time. Axes are short, so they go to the driver."""
     column = F.col(name)
     if dict(df.dtypes)[name].startswith(("timestamp", "date")):
-        column = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{name}` as timestamp_ntz))")
+        column = micros(f"`{name}`")
         calendar = calendar or "proleptic_gregorian"
     values = sorted(r[0] for r in df.select(column.alias("v")).filter("v is not null").distinct().collect())
     return Axis(name, np.array(values), attrs=attrs or {}, calendar=calendar)

@@ -183,3 +183,15 @@ def test_samples(spark):
     assert ds.variables["ts"] == ("time", "lev", "lat", "lon") and ds.fact.count() == 12 * 10 * 36 * 72 and ds.axes["time"].has_bounds()
     with pytest.raises(ValueError):
         open_sample(spark, "none")
+
+
+def test_no_time_zone_has_a_say(spark):
+    """An hour that New York leaves out in spring, and summer's offset."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([("2024-03-10 02:30:00.25", 1.0), ("2024-07-01 00:00:00", 2.0)], "t string, v double").selectExpr("cast(t as timestamp_ntz) as t", "v")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        a = axis_from(df, "t")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert a.values.tolist() == [np.datetime64(x, "us").astype(int) for x in ("2024-03-10T02:30:00.25", "2024-07-01")]
