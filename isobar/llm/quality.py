@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_batches, stored, texts
+from .common import arrow_schema, map_batches, texts
 
 ROWS, DIM, NONZERO, NEAR = 1 << 14, 64, 4, 2
 #: Rows of the vectors' table in one piece of a sum.
@@ -209,16 +209,17 @@ def remainder(doc_id) -> F.Column:
 
 
 def features(docs: DataFrame, vectors: np.ndarray, extra: str = "") -> DataFrame:
+    """Pooled features as bytes (x) beside doc_id and the columns of extra."""
     def make():
         words = Words()
 
         def step(batch):
             out = {n: batch.column(n) for n in batch.schema.names if n != "text"}
-            return out | {"x": [pooled(words(t), vectors) for t in texts(batch)]}
+            return out | {"x": [pooled(words(t), vectors).tobytes() for t in texts(batch)]}
 
         return step
 
-    return map_batches(docs, make, f"doc_id long, {extra}x array<float>")
+    return map_batches(docs, make, f"doc_id long, {extra}x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label: str = "quality", most: int = 20_000) -> Network:
@@ -236,7 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label: str = "q
     found.sort(key=lambda r: (r.doc_id, r.x))
     ids = [r.doc_id for r in found]
     apart = np.array([zlib.crc32(b"calibrate%d" % i) % 6 == 0 for i in ids])
-    return train(np.array([r.x for r in found]), np.array([r.y for r in found]), apart)
+    x = np.frombuffer(b"".join(r.x for r in found), np.float32).reshape(len(found), FEATURES)
+    return train(x, np.array([r.y for r in found]), apart)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, most: int = 20_000) -> DataFrame:
