@@ -107,7 +107,8 @@ class Index:
         """Bucket keys of windows of one length m: a row of WALKS x TABLES keys each.
 
         All walks step together. Places are sampled within the first 1.8 m
-        steps, where most walks still read the window.
+        steps, where most walks still read the window. A word of number 0, that
+        no item has, moves a walk like any other.
         """
         n, m = windows.shape
         padded = np.c_[windows, np.full(n, -1)].astype(np.uint64)
@@ -117,7 +118,7 @@ class Index:
         with np.errstate(over="ignore"):
             for s in range(steps):
                 emitted[s] = padded[each, at]
-                at += (emitted[s] * self.moves[s] >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+                at += ((emitted[s] + np.uint64(1)) * self.moves[s] >> np.uint64(40) & np.uint64(1)).astype(np.int64)
                 np.minimum(at, m, out=at)
             key = np.arange(m * WALKS * TABLES, (m + 1) * WALKS * TABLES, dtype=np.uint64).reshape(WALKS, TABLES, 1) * np.uint64(0x9E3779B97F4A7C15)
             for places in np.moveaxis((self.picks * steps).astype(int), 2, 0):

@@ -210,3 +210,23 @@ def test_distance(n):
     d, s, e = decontaminate.distance(item, text)
     assert d == brute_distance(item.tolist(), text.tolist())
     assert d == brute_distance(item.tolist(), text[s:e].tolist()) if e > s else True
+
+
+def foreign_edits(rng, words):
+    """As many edits as the bound of 20 % allows, all with words of their own."""
+    words, places = list(words), rng.sample(range(len(words)), decontaminate.allowed(len(words), 0.2))
+    for p in sorted(places, reverse=True):
+        new = f"x{rng.getrandbits(60)}"
+        words[p : p + 1] = rng.choice([[new], [new], [], [words[p], new]])
+    return words
+
+
+@pytest.mark.parametrize("m", [10, 40, 59, 150])
+def test_leaks_with_foreign_words(m):
+    rng = random.Random(m)
+    items = [(i, rng.choices([f"v{k}" for k in range(3000)], k=m)) for i in range(40)]
+    index, found = decontaminate.Index(items, 0.2), 0
+    for i, words in items:
+        text = " ".join([f"y{k}" for k in range(50)] + foreign_edits(rng, words) + [f"z{k}" for k in range(50)])
+        found += i in [j for j, *_ in index.find(np.frombuffer(index.rows(text), "<u4").astype(np.int64))]
+    assert found >= 0.9 * len(items)
