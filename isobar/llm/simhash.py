@@ -189,16 +189,18 @@ def links_of_small(prints: np.ndarray, ends: np.ndarray, radius: int, alike=None
 
 
 def compare_runs(radius: int, share: float | None = None):
-    """For sorted batches of (bucket, side, fp and, with a share, sketch): batches of links (a, b), runs never cut.
+    """For sorted batches of (bucket, side, fp and, with a share, node, sketch): batches of links (a, b), runs never cut.
 
-    share: what part of their sketches' bytes linked rows have in common at least.
+    share: what part of their sketches' bytes linked rows have in common at
+    least; links are then between nodes, and otherwise between fingerprints.
     """
     out = arrow_schema("a long, b long")
 
     def judge(sketch: np.ndarray | None):
         return None if share is None else lambda i, j: np.concatenate([np.empty(0, bool), *((sketch[i[at : at + 4096]] == sketch[j[at : at + 4096]]).mean(axis=1) >= share for at in range(0, len(i), 4096))])
 
-    def forest(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray, sketch: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def forest(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray, nodes: np.ndarray | None = None, sketch: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        nodes = prints if nodes is None else nodes
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         sizes = np.diff(np.r_[starts, len(bucket)])
         pairs = []
@@ -208,12 +210,12 @@ def compare_runs(radius: int, share: float | None = None):
             own = prints[small]
             root = links_of_small(own, ends, radius, judge(sketch if sketch is None else sketch[small]))
             m = np.flatnonzero(root != np.arange(len(own)))
-            pairs.append((own[m], own[root[m]]))
+            pairs.append((nodes[small][m], nodes[small][root[m]]))
         for s, k in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
             own = prints[s : s + k]
             root = links_of_large(own, side[s : s + k], radius, judge(sketch if sketch is None else sketch[s : s + k]))
             m = np.flatnonzero(root != np.arange(k))
-            pairs.append((own[m], own[root[m]]))
+            pairs.append((nodes[s + m], nodes[s + root[m]]))
         for a, b in pairs:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], schema=out)
@@ -223,6 +225,7 @@ def compare_runs(radius: int, share: float | None = None):
         for batch in batches:
             new = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("bucket", "side", "fp")]
             if share is not None:
+                new.append(batch.column("node").to_numpy(zero_copy_only=False))
                 new.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, LEAST))
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             if not len(held[0]):
@@ -260,23 +263,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """fingerprints() with sketch (a byte of each least hash) and bands (buckets)."""
+    """fingerprints() with node (hash of the set of shingles), sketch (a byte of each least hash) and bands (buckets)."""
 
     def make():
         def step(batch):
-            fp, sketch, bands = [], [], []
+            fp, node, sketch, bands = [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(text or b"", width)
-                least = least_hashes(hashes)
+                distinct = np.unique(hashes)
+                least = least_hashes(distinct)
                 fp.append(majority(hashes))
+                node.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
                 sketch.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
                 bands.append(band_keys(least))
-            return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(np.array(fp, np.uint64).view(np.int64)), "sketch": sketch, "bands": bands}
+            return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(np.array(fp, np.uint64).view(np.int64)), "node": pa.array(np.array(node, np.uint64).view(np.int64)), "sketch": sketch, "bands": bands}
 
         return step
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
-    return map_batches(rows, make, "doc_id long, text_hash long, fp long, sketch binary, bands array<long>")
+    return map_batches(rows, make, "doc_id long, text_hash long, fp long, node long, sketch binary, bands array<long>")
 
 
 def text_hash(text_col: str) -> Column:
@@ -295,24 +300,24 @@ def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return tiles.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(compare_runs(radius), "a long, b long")
 
 
-def tiled(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, fp, n) as (bucket, side, fp): a bucket of n over TILE as pairs of tiles, each a bucket of two sides."""
+def tiled(rows: DataFrame, name: str = "fp", *more: str) -> DataFrame:
+    """Rows (bucket, name, n, more) as (bucket, side, name, more): a bucket of n over TILE as pairs of tiles, each a bucket of two sides."""
     cut = rows.withColumn("k", F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64(F.col("fp"), F.lit("tile")), F.col("k")).cast("int"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64(F.col(name), F.lit("tile")), F.col("k")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return cut.select(F.when(F.col("k") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).alias("bucket"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
+    return cut.select(F.when(F.col("k") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).alias("bucket"), (F.col("own") > F.col("other")).cast("int").alias("side"), name, *more)
 
 
 def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of prints (fp, sketch, bands) whose shingle sets are alike.
+    """Links (a, b) between distinct nodes of prints (node, fp, sketch, bands) whose shingle sets are alike.
 
-    Fingerprints that share a pair of least hashes are compared within WIDE
+    Nodes that share a pair of least hashes are compared within WIDE
     bits and then by sketch; rows carry sketches only once their bucket is
     known to hold two of them.
     """
-    rows = prints.select("fp", F.explode("bands").alias("bucket"))
+    rows = prints.select("node", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    tiles = tiled(rows.join(sizes, "bucket")).join(prints.select("fp", "sketch"), "fp")
+    tiles = tiled(rows.join(sizes, "bucket"), "node").join(prints.select("node", "fp", "sketch"), "node")
     return tiles.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(compare_runs(WIDE, similarity - SLACK), "a long, b long")
 
 
@@ -328,17 +333,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def groups(prints: DataFrame, link) -> DataFrame:
-    """Per distinct fingerprint of stored prints its group's least doc_id and least text_hash of rows without an id."""
-    more = [c for c in prints.columns if c in ("sketch", "bands")]
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("first_hash"), *([F.min(F.struct(*more)).alias("m")] if more else []))
-    if more:  # texts of one fingerprint share a sketch, the least of theirs
-        distinct = stored(distinct.select("fp", "first_id", "first_hash", "m.*"), "simhash-distinct")
-    roots = components(link(distinct), "simhash-links").withColumnRenamed("node", "fp")
-    known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop(*more)
+def groups(prints: DataFrame, link, key: str = "fp") -> DataFrame:
+    """Per distinct key of stored prints its group's least doc_id and least text_hash of rows without an id.
+
+    Rows of one key are one node; link gives the links between nodes.
+    """
+    more = [c for c in prints.columns if c in ("fp", "sketch", "bands") and c != key]
+    distinct = prints.groupBy(key).agg(F.min("doc_id").alias("first_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("first_hash"), *([F.min(F.struct(*more)).alias("m")] if more else []))
+    if more:
+        distinct = stored(distinct.select(key, "first_id", "first_hash", "m.*"), "simhash-distinct")
+    roots = components(link(distinct), "simhash-links").withColumnRenamed("node", key)
+    known = distinct.join(roots, key, "left").withColumn("root", F.coalesce("root", key)).drop(*more)
     known = stored(known, "simhash-roots")
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first_hash").alias("least_hash"))
-    return known.join(least, "root").select("fp", "component_id", "least_hash")
+    return known.join(least, "root").select(key, "component_id", "least_hash")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -351,7 +359,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and texts without words are one group.
     """
     prints = stored(sketches(docs, id_col, text_col, width), "simhash")
-    found = prints.join(groups(prints, lambda distinct: similar_links(distinct, similarity)), "fp")
+    found = prints.join(groups(prints, lambda distinct: similar_links(distinct, similarity), "node"), "node")
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     kept = found.filter("component_id is null and text_hash = least_hash").select(F.col("text_hash").alias("_hash")).distinct()

@@ -111,3 +111,18 @@ def test_empty_table_and_stage(spark):
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == similar_kept([r for r in ROWS if r[0] is not None or r[1] == BASE])
     assert [r.text for r in got.collect() if r.doc_id is None] == ["nobody else has this text at all"]
+
+
+def test_texts_of_one_fingerprint_are_compared(spark):
+    """Texts of own words and a much repeated run: equal fingerprints, hardly a shingle in common."""
+    import random
+
+    random.seed(2)
+    word = lambda: "".join(random.choices("abcdefgh", k=5))
+    run = [word() for _ in range(5)]
+    rows = [(k, " ".join([word() for _ in range(60)] + run * 50)) for k in range(8)]
+    rows.append((20, rows[3][1].rsplit(" ", 5)[0]))  # the set of text 3
+    prints = {simhash.majority(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows}
+    assert len(prints) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == similar_kept(rows) == list(range(8))
