@@ -11,7 +11,8 @@ spanning forest, never all pairs, and components() joins the forests.
 For groups by a similarity of shingle sets, where fingerprints lie further
 apart than blocks of bits can find, candidates come from buckets of pairs of
 least hashes instead; the same comparison keeps those within a wide radius, and
-sketches of least hashes judge what is left.
+sketches of least hashes those that may be alike. The sets themselves judge:
+each group of such links is gone through once more with its texts' shingles.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ SEED = 42
 TILE = 2048
 #: Least hashes of a sketch, one byte of each; buckets by two of them.
 LEAST, BANDS = 128, 8
-#: A sketch's share of equal bytes may fall short of the similarity by about 1.4 deviations.
+#: A candidate's share of equal bytes may fall short of the similarity by about 1.4 deviations.
 SLACK = 0.05
 #: Radius within which sketches are looked at: at a similarity of 0.8 fingerprints differ by 10 bits, with a deviation of 3.
 WIDE = 16
@@ -309,7 +310,7 @@ def tiled(rows: DataFrame, name: str = "fp", *more: str) -> DataFrame:
 
 
 def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between distinct nodes of prints (node, fp, sketch, bands) whose shingle sets are alike.
+    """Links (a, b) between distinct nodes of prints (node, fp, sketch, bands) whose shingle sets may be alike: a spanning forest per bucket.
 
     Nodes that share a pair of least hashes are compared within WIDE
     bits and then by sketch; rows carry sketches only once their bucket is
@@ -321,6 +322,86 @@ def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
     return tiles.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(compare_runs(WIDE, similarity - SLACK), "a long, b long")
 
 
+def reached(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links i-j that span the groups of sets (distinct numbers each) by Jaccard similarity; only sets not yet reached are compared."""
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(codes), bool)
+    rest, a, b = np.arange(len(sets)), [], []
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            near = rest[np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i])]
+            if not len(near):
+                continue
+            mark[own[i]] = True
+            common = np.add.reduceat(mark[np.concatenate([own[j] for j in near])], np.r_[0, np.cumsum(sizes[near])[:-1]], dtype=np.int64)
+            mark[own[i]] = False
+            hit = near[common >= similarity * (sizes[near] + sizes[i] - common)]
+            rest = np.setdiff1d(rest, hit, assume_unique=True)
+            a += [i] * len(hit)
+            b += hit.tolist()
+            queue += hit.tolist()
+    return a, b
+
+
+def judge_runs(similarity: float):
+    """For sorted batches of (bucket, node, shingles): batches of links (a, b) between nodes of a bucket by exact similarity."""
+    out = arrow_schema("a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, nodes, sets, found = None, [], [], ([], [])
+
+        def close():
+            for side, x in zip(found, reached(sets, similarity) if len(sets) > 1 else ((), ())):
+                side.extend(nodes[i] for i in x)
+
+        def links():
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=out)
+
+        for batch in batches:
+            for b, node, shingles in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "shingles"))):
+                if b != bucket:
+                    close()
+                    bucket, nodes, sets = b, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(shingles, np.uint64))
+            if found[0]:
+                yield links()
+                found = ([], [])
+        close()
+        if found[0]:
+            yield links()
+
+    return run
+
+
+def exact_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that span the groups of nodes of prints by the exact similarity of their shingle sets.
+
+    similar_links() give groups that hold these; within each, the sets of one
+    text a node are compared. A group of more than TILE nodes is dealt into
+    pairs of tiles.
+    """
+
+    def make():
+        def step(batch):
+            sets = [np.unique(shingle_hashes(x or b"", width)).tobytes() for x in batch.column("text").to_pylist()]
+            return {"node": batch.column("node"), "root": batch.column("root"), "shingles": sets}
+
+        return step
+
+    loose = components(similar_links(prints, similarity), "simhash-loose").join(prints.select("node", "one.*"), "node")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
+    rows = loose.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "root", "text")
+    sets = stored(map_batches(rows, make, "node long, root long, shingles binary").dropDuplicates(["node"]), "simhash-sets")
+    sizes = sets.groupBy("root").agg(F.count("*").alias("n"))
+    tiles = tiled(sets.join(sizes, "root").withColumnRenamed("root", "bucket"), "node", "shingles")
+    return tiles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge_runs(similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One row (doc_id, fp, component_id) per row of docs; component_id is the least doc_id of the linked group.
 
@@ -338,12 +419,12 @@ def groups(prints: DataFrame, link, key: str = "fp") -> DataFrame:
 
     Rows of one key are one node; link gives the links between nodes.
     """
-    more = [c for c in prints.columns if c in ("fp", "sketch", "bands") and c != key]
+    more = ["fp", "sketch", "bands", F.struct("doc_id", "text_hash").alias("one")] if key == "node" else []
     distinct = prints.groupBy(key).agg(F.min("doc_id").alias("first_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("first_hash"), *([F.min(F.struct(*more)).alias("m")] if more else []))
     if more:
         distinct = stored(distinct.select(key, "first_id", "first_hash", "m.*"), "simhash-distinct")
     roots = components(link(distinct), "simhash-links").withColumnRenamed("node", key)
-    known = distinct.join(roots, key, "left").withColumn("root", F.coalesce("root", key)).drop(*more)
+    known = distinct.join(roots, key, "left").withColumn("root", F.coalesce("root", key)).select(key, "root", "first_id", "first_hash")
     known = stored(known, "simhash-roots")
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first_hash").alias("least_hash"))
     return known.join(least, "root").select(key, "component_id", "least_hash")
@@ -353,13 +434,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without near-duplicates: of each group of texts of like shingle sets the document with the least id stays, with all its columns.
 
     Links are pairs whose sets of width-word shingles have a Jaccard
-    similarity of about `similarity` or more, by sketches of LEAST hashes.
+    similarity of `similarity` or more; sketches only choose what is compared.
     doc_id names a document: of rows that share one, one stays. Of a group
     whose ids are all null the text of the least hash stays, once. Null texts
     and texts without words are one group.
     """
     prints = stored(sketches(docs, id_col, text_col, width), "simhash")
-    found = prints.join(groups(prints, lambda distinct: similar_links(distinct, similarity), "node"), "node")
+    found = prints.join(groups(prints, lambda distinct: exact_links(distinct, docs, id_col, text_col, width, similarity), "node"), "node")
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     kept = found.filter("component_id is null and text_hash = least_hash").select(F.col("text_hash").alias("_hash")).distinct()

@@ -126,3 +126,40 @@ def test_texts_of_one_fingerprint_are_compared(spark):
     assert len(prints) == 1
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == similar_kept(rows) == list(range(8))
+
+
+def test_links_below_the_similarity_are_none(spark, monkeypatch):
+    """Pairs just below and just above 0.8, and groups that only a pair below it would join."""
+    import random
+
+    random.seed(4)
+    rows = []
+    word = lambda: "".join(random.choices("abcdefgh", k=5))
+    for k in range(0, 600, 3):
+        base = [word() for _ in range(204)]
+        tail = base[: 204 - random.choice([36, 39, 42, 44, 46, 48, 52])]
+        rows += [(k, " ".join(base)), (k + 1, " ".join(tail)), (k + 2, " ".join(tail[:-30] + [word()]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "TILE", 2)
+    kept, want = {r.doc_id for r in simhash.keep_first(docs).collect()}, set(similar_kept_of_three(rows))
+    assert not want - kept  # nothing goes that is not alike
+    assert len(kept - want) <= 0.1 * (len(rows) - len(want)) and len(rows) - len(want) > 50
+
+
+def similar_kept_of_three(rows):
+    return [k for at in range(0, len(rows), 3) for k in similar_kept(rows[at : at + 3])]
+
+
+def test_reached_as_brute_force():
+    import random
+
+    import numpy as np
+
+    random.seed(7)
+    for n in (1, 2, 40):
+        sets = [np.array(sorted(random.sample(range(14), random.randint(8, 13))), np.uint64) for _ in range(n)]
+        a, b = simhash.reached(sets, 0.8)
+        of = lambda i, j: len({*sets[i].tolist()} & {*sets[j].tolist()}) / len({*sets[i].tolist()} | {*sets[j].tolist()})
+        assert all(of(i, j) >= 0.8 for i, j in zip(a, b))
+        root = simhash.spanning(n, np.array(a, int), np.array(b, int))
+        assert all(root[i] == root[j] for i in range(n) for j in range(n) if of(i, j) >= 0.8) and len(a) == n - len(set(root.tolist()))
