@@ -33,11 +33,11 @@ SEED = 42
 #: Fingerprints of one tile; a larger bucket is cut into pairs of tiles.
 TILE = 2048
 #: Least hashes of a sketch, one byte of each; buckets by two of them.
-LEAST, BANDS = 128, 8
-#: A candidate's share of equal bytes may fall short of the similarity by about 1.4 deviations.
-SLACK = 0.05
-#: Radius within which sketches are looked at: at a similarity of 0.8 fingerprints differ by 10 bits, with a deviation of 3.
-WIDE = 16
+LEAST, BANDS = 128, 12
+#: A candidate's share of equal bytes may fall short of the similarity by over 4 deviations, as sets are judged after it.
+SLACK = 0.15
+#: Radius within which sketches are looked at: at a similarity of 0.8 fingerprints of sets differ by 10 bits, with a deviation of 3.
+WIDE = 24
 #: Buckets of up to so many fingerprints are compared together, lag by lag.
 SMALL = 48
 
@@ -264,16 +264,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """fingerprints() with node (hash of the set of shingles), sketch (a byte of each least hash) and bands (buckets)."""
+    """fingerprints() of the sets of shingles, with node (hash of the set), sketch (a byte of each least hash) and bands (buckets)."""
 
     def make():
         def step(batch):
             fp, node, sketch, bands = [], [], [], []
             for text in batch.column("text").to_pylist():
-                hashes = shingle_hashes(text or b"", width)
-                distinct = np.unique(hashes)
+                distinct = np.unique(shingle_hashes(text or b"", width))
                 least = least_hashes(distinct)
-                fp.append(majority(hashes))
+                fp.append(majority(distinct))
                 node.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
                 sketch.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
                 bands.append(band_keys(least))

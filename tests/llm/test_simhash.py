@@ -163,3 +163,22 @@ def test_reached_as_brute_force():
         assert all(of(i, j) >= 0.8 for i, j in zip(a, b))
         root = simhash.spanning(n, np.array(a, int), np.array(b, int))
         assert all(root[i] == root[j] for i in range(n) for j in range(n) if of(i, j) >= 0.8) and len(a) == n - len(set(root.tolist()))
+
+
+def test_similar_sets_with_other_repeats_are_found(spark):
+    """Texts of nearly one set of shingles, a run of 8 words repeated twice in one and 62 times in the other; and pairs from 0.8 on."""
+    import random
+
+    random.seed(5)
+    rows = []
+    word = lambda: "".join(random.choices("abcdefgh", k=5))
+    for k in range(0, 300, 3):
+        base, run = [word() for _ in range(200)], [word() for _ in range(8)]
+        rows += [(k, " ".join(base + run * 2)), (k + 1, " ".join(base + run * 62 + [word()])), (k + 2, " ".join([word() for _ in range(24)] + base))]
+    more = []
+    for k in range(1000, 1400, 2):
+        text = " ".join(word() for _ in range(164))
+        more += [(k, text), (k + 1, text + " " + " ".join(word() for _ in range(38)))]
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
+    assert not [k for k in kept if k < 1000 and k % 3 == 1]
+    assert not [k for k in kept if k >= 1000 and k % 2]
