@@ -55,7 +55,7 @@ def strength(literal: str) -> float:
 
 
 def pairs(text: str):
-    """(name, literal or bare word, start, end, quoted) of each assignment, in order."""
+    """(name, literal or bare word, start, end, quoted) of each assignment, in order; those inside a bare value follow it."""
     done = 0
     for op in OPERATOR.finditer(text):
         if op.start() < done:
@@ -69,7 +69,7 @@ def pairs(text: str):
         if k == 4 and op[0] == ":" and text[op.end() : op.end() + 2] == "//":
             continue
         yield name, right[k], right.start(k), right.end(k), k != 4
-        done = right.end()
+        done = right.start(k) if k == 4 else right.end()
 
 
 def literals(text: str) -> list[tuple[int, int, float]]:
@@ -88,7 +88,8 @@ def literals(text: str) -> list[tuple[int, int, float]]:
         else:
             literal = (value, start, end)
         defined[name] = literal
-        score = sensitivity(name) * strength(literal[0])
+        weight = sensitivity(name)
+        score = weight and weight * strength(literal[0])
         if score >= THRESHOLD:
             best[literal[1:]] = max(score, best.get(literal[1:], 0.0))
     return [(s, e, score) for (s, e), score in best.items()]

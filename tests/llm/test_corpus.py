@@ -104,6 +104,14 @@ def test_lexer_propagates_constants():
     assert [text[s:e] for s, e, _ in secrets.literals(text)] == ["q8Zr41LmNx"]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("env: DB_PWD=q8Zr41LmNx9k", ["q8Zr41LmNx9k"]), ("INFO:auth=Zx81mQpT0vLw77 done", ["Zx81mQpT0vLw77"]), ("a: b:c:pwd=q8Zr41LmNx9k", ["q8Zr41LmNx9k"]),
+    ("note: x=q8Zr41LmNx9k", []), ("k: pwd= q8Zr41LmNx9k", ["q8Zr41LmNx9k"]), ("x: YWJjZGVmZ2g= q8Zr41LmNx9k", []), ("at 12:30:pin=1", []),
+])
+def test_lexer_reads_assignments_in_bare_values(text, want):
+    assert [text[s:e] for s, e, _ in secrets.literals(text)] == want
+
+
 def quality_tables(spark, n=400):
     random.seed(3)
     word = lambda: "".join(random.choices("etaoinshr", k=random.randint(2, 7)))
