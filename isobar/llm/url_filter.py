@@ -7,7 +7,8 @@ of the universe that pass level 0 unlisted, level 2 the listed keys that pass
 level 1, and so on until a level has no false positives. The first level that
 a key fails decides it, exactly for every key of the universe, without a join.
 Level 0 is sized by the universe, so that the false positives and with them
-all further levels stay of the order of the list.
+all further levels stay of the order of the list. The words of a level stand
+in the plan as one constant; a list too long for that is joined instead.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Bits of a cascade that may stand in a plan; beyond it rules() asks for a longer way.
+#: Bits of a cascade that may stand in a plan (2 MB of words); a list that needs more is joined by its keys.
 MOST_BITS = 1 << 24
 
 
@@ -43,7 +46,7 @@ class Level:
     seed: int
 
     def has(self, key: Column) -> Column:
-        bits = F.array(*(F.lit(w).cast("long") for w in self.words))
+        bits = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a constant
         hit = F.lit(True)
         for i in range(self.probes):
             at = position(key, self.seed, i, len(self.words))
@@ -85,12 +88,13 @@ def candidate(shape: tuple[int, int], host: Column, path: Column) -> Column:
     return F.when((F.length(path) >= size) & (host != ""), F.concat(suffix, F.substring(path, 1, size)))
 
 
+def probes_and_words(count: int, rate: float) -> tuple[int, int]:
+    return max(1, round(-math.log2(rate))), max(1, math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 64))
+
+
 def build_level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
     """A Bloom filter of keys (key), of a false positive rate; one bit_or per word, of the order of count words."""
-    probes = max(1, round(-math.log2(rate)))
-    words = max(1, math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 64))
-    if words * 64 > MOST_BITS:
-        raise ValueError(f"a level of {words * 64} bits is too large to stand in a plan; filter by a join")
+    probes, words = probes_and_words(count, rate)
     at = keys.select(F.explode(F.array(*(position(F.col("key"), seed, i, words) for i in range(probes)))).alias("at"))
     rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) as int)))").alias("bits")).collect()
     bits = [0] * words
@@ -99,8 +103,8 @@ def build_level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
     return Level(tuple(bits), probes, seed)
 
 
-def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
-    """Levels that tell listed keys from all other keys of the universe (both: key).
+def cascade(listed: DataFrame, universe: DataFrame) -> list[Level] | None:
+    """Levels that tell listed keys from all other keys of the universe (both: key); None if they'd take more than MOST_BITS.
 
     What reaches the driver are the words of the filters: of the order of the
     list, whatever the size of the universe.
@@ -109,9 +113,11 @@ def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     n = listed.count()
     if not n:
         return []
-    others = universe.filter("key is not null").join(F.broadcast(listed), "key", "left_anti") if n < 100_000 else universe.filter("key is not null").join(listed, "key", "left_anti")
-    size = others.agg(F.approx_count_distinct("key", 0.02)).first()[0]
-    levels = [build_level(listed, n, min(0.5, n * 0.7 / max(size, 1)), 0)]
+    others = universe.filter("key is not null").join(F.broadcast(listed) if n < 100_000 else listed, "key", "left_anti")
+    rate = min(0.5, n * 0.7 / max(others.agg(F.approx_count_distinct("key", 0.02)).first()[0], 1))
+    if probes_and_words(n, rate)[1] * 64 > MOST_BITS:
+        return None
+    levels = [build_level(listed, n, rate, 0)]
     holds, against = listed, others
     while True:
         passed = against.filter(levels[-1].has(F.col("key"))).distinct()
@@ -135,9 +141,10 @@ def apply_rules(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
 
     A rule fits its host and all subdomains where the path starts with the
     rule's. Urls that no rule fits get default. A null url, or one without
-    ://, has an empty host and path and fits no rule. Repeated rows and null
-    ids stay; an empty table gives no rows. Only the two named columns are
-    read. No rules: default for all.
+    ://, has an empty host and path and fits no rule; a very long one is read
+    whole. Repeated rows and null ids stay; an empty table gives no rows. Only
+    the two named columns are read. No rules: default for all. A list too long
+    for a cascade in the plan (MOST_BITS) is joined; the rows are the same.
     """
     spark = pages.sparkSession
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -145,13 +152,30 @@ def apply_rules(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     forms = shapes(rules)
     if not forms:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    keys = F.array(*(candidate(x, F.col("host"), F.col("path")) for x in forms))
-    universe = urls.select(F.explode(keys).alias("key"))
+    keys = F.array_compact(F.array(*(candidate(x, F.col("host"), F.col("path")) for x in forms)))
     verdicts = {r.key: r.verdict for r in rules}
-    levels = cascade(spark.createDataFrame([(k,) for k in verdicts], "key string"), universe)
+    listed = spark.createDataFrame([*verdicts.items()], "key string, verdict string")
+    levels = cascade(listed.select("key"), urls.select(F.explode(keys).alias("key")))
+    if levels is None:
+        return joined(urls.withColumn("keys", keys), listed, default)
+    # of the listed keys, those that block: a second cascade, whose universe is the list
+    block = cascade(listed.filter("verdict = 'block'").select("key"), listed.select("key"))
     hits = F.filter(keys, lambda k: member(levels, k))
     best = F.element_at(F.array_sort(hits, lambda a, b: F.length(a) - F.length(b)), -1)
-    blocked = F.array(*(F.lit(k) for k, v in verdicts.items() if v == "block")) if "block" in verdicts.values() else F.array().cast("array<string>")
     ruled = urls.withColumn("rule", F.when(F.size(hits) > 0, best))
-    verdict = F.when(F.col("rule").isNull(), default).when(F.array_contains(blocked, F.col("rule")), "block").otherwise("allow")
+    verdict = F.when(F.col("rule").isNull(), default).when(member(block, F.col("rule")), "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+
+
+def joined(urls: DataFrame, listed: DataFrame, default: str) -> DataFrame:
+    """apply_rules() by a join of the distinct keys of urls (page_id, host, path, keys) with the list, for long lists.
+
+    Urls that have the same host and path are one row of it, so that a hot url
+    meets its keys once; what is found is a table, so that adaptive execution
+    can split the rows of a hot url when they are joined with it.
+    """
+    pairs = urls.groupBy("host", "path").agg(F.first("keys").alias("keys"))
+    found = pairs.select("host", "path", F.posexplode("keys").alias("k", "key")).join(listed, "key")
+    best = stored(found.groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), "k")).alias("best")), "url-rules")
+    out = urls.select("page_id", "host", "path").join(best, ["host", "path"], "left")
+    return out.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

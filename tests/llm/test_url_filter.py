@@ -56,3 +56,23 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert len(levels) > 2
     wrong = keys.filter(member(levels, F.col("key")) != F.expr("xxhash64(key) % 9 = 0"))
     assert wrong.count() == 0
+
+
+def test_long_lists_are_joined(spark, monkeypatch):
+    from isobar.llm import url_filter
+
+    rows = [(k % 15 if k else None, u) for k, u in enumerate(URLS)] + [(3, URLS[0])] * 2
+    pages = spark.createDataFrame([(i, u, 1, "z") for i, u in rows], "page_id long, url string, keys int, verdict string")
+    monkeypatch.setattr(url_filter, "MOST_BITS", 1)
+    got = apply_rules(pages, RULES)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, RULES)
+    assert apply_rules(pages.limit(0), RULES).count() == 0
+
+
+def test_thousands_of_rules(spark):
+    random.seed(6)
+    rules = [Rule(random.choice(["allow", "block"]), f"h{k % 977}.example.org", f"/{k}/") for k in range(3000)]
+    rows = [(k, f"http://www.h{k % 977}.example.org/{k + random.randint(0, 1)}/x") for k in range(0, 3000, 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    assert sorted(map(tuple, apply_rules(pages, rules).collect()), key=str) == brute(rows, rules)
