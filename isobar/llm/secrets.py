@@ -33,7 +33,9 @@ THRESHOLD = 0.5
 PLACEHOLDERS = {"none", "null", "true", "false", "undefined", "changeme", "example", "redacted"}
 
 OPERATOR = re.compile(r"=>|:=|[:=]")
-TARGET = re.compile(r"""(?:(["'`])([A-Za-z_][\w.\-]{0,79})\1|([A-Za-z_$][\w.\-\[\]"']{0,79}))[ \t]*\Z""")
+#: What may stand before an operator, read backwards: blanks, then a run of a name's characters or a name in backticks.
+BEFORE = re.compile(r"""[ \t]*(?:`([\w.\-]*)`|([\w.\-\[\]"']*\$?))""")
+QUOTED = re.compile(r"[A-Za-z_][\w.\-]*")
 VALUE = re.compile(r"""[ \t]*(?:[rbuf]{0,2}"((?:[^"\\\n]|\\.)*)"|[rbuf]{0,2}'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;{}()\[\]<>]+))""")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 BARE = re.compile(r"[A-Za-z_$][\w.]*\Z")
@@ -54,17 +56,36 @@ def strength(literal: str) -> float:
     return min(1.0, bits / 24)
 
 
+def target(turned: str, at: int) -> str | None:
+    """The name that ends before the operator at a place of the text; turned: the text backwards.
+
+    Of the run of characters that a name may have, the name starts at the
+    first letter, _ or $; a name within one pair of quotes stands for itself.
+    Runs end at operators, so that all of a text's are read once.
+    """
+    found = BEFORE.match(turned, len(turned) - at)
+    if found[1] is not None:
+        name = found[1][::-1]
+        return name if QUOTED.fullmatch(name) else None
+    run = found[2][::-1]
+    for k, c in enumerate(run):
+        if c in "\"'" and len(run) > k + 2 and run[-1] == c and QUOTED.fullmatch(run, k + 1, len(run) - 1):
+            return run[k + 1 : -1]
+        if c.isascii() and c.isalpha() or c in "_$":
+            return run[k:]
+    return None
+
+
 def pairs(text: str):
     """(name, literal or bare word, start, end, quoted) of each assignment, in order; those inside a bare value follow it."""
-    done = 0
+    done, turned = 0, text[::-1]
     for op in OPERATOR.finditer(text):
         if op.start() < done:
             continue
-        left = TARGET.search(text[max(0, text.rfind("\n", 0, op.start()) + 1, op.start() - 100) : op.start()])
-        right = left and VALUE.match(text, op.end())
+        name = target(turned, op.start())
+        right = name and VALUE.match(text, op.end())
         if not right or text[op.end() : op.end() + 1] == "=" or text[op.start() - 1 : op.start()] in ("=", "!", "<", ">"):
             continue
-        name = left[2] or left[3]
         k = next(k for k in (1, 2, 3, 4) if right[k] is not None)
         if k == 4 and op[0] == ":" and text[op.end() : op.end() + 2] == "//":
             continue
@@ -116,8 +137,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
     spans has those of the patterns and, as kind literal, those of the lexer;
     code points, end exclusive. Null text is the empty text, without spans; a
-    null doc_id stays null; repeated rows give repeated rows, an empty table
-    none. Other columns of docs are not read.
+    very long one, of one line too, takes time in proportion; names are read
+    whole, however long. A null doc_id stays null; repeated rows give repeated
+    rows, an empty table none. Other columns of docs are not read.
     """
 
     def make():
