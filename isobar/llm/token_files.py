@@ -20,16 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import arrow_schema, shared_dir, stored, texts
+from .common import arrow_schema, map_batches, passing, release, shared_dir, stored, texts
 
 MAGIC = b"ISOTOK01"
 HEADER = struct.Struct("<8sBxxxxxxxQQQqQ")  # magic, id width, documents, ids, documents with null id, least doc_id, bytes of the ends
 SAMPLE = 512
-#: Ids after which a shard ends; it bounds a writer's and a reader's memory.
-SHARD_IDS = 1 << 23
+#: Ids and documents after which a shard ends; they bound a writer's and a reader's memory.
+SHARD_IDS, SHARD_DOCS = 1 << 23, 1 << 18
+#: Tasks that read shards; more shards than that share them.
+MOST_TASKS = 20_000
 
 
 class EliasFano:
@@ -42,11 +45,14 @@ class EliasFano:
         values = np.asarray(values, np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
         low = max(0, (top // n).bit_length() - 1) if n else 0
-        bits = (values[:, None] >> np.arange(low, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
         ones = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
         high = np.zeros((top >> low) + n + 1, np.uint8)
         high[ones] = 1
-        return cls.head.pack(n, top, low) + np.packbits(bits.ravel(), bitorder="little").tobytes() + np.packbits(high, bitorder="little").tobytes() + ones[::SAMPLE].astype("<u4").tobytes()
+        lows = []
+        for at in range(0, n if low else 0, 4096):  # a multiple of 8 values fills whole bytes
+            bits = (values[at : at + 4096, None] >> np.arange(low, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+            lows.append(np.packbits(bits.ravel(), bitorder="little").tobytes())
+        return cls.head.pack(n, top, low) + b"".join(lows) + np.packbits(high, bitorder="little").tobytes() + ones[::SAMPLE].astype("<u4").tobytes()
 
     def __init__(self, data: memoryview | bytes):
         self.n, top, self.low = self.head.unpack_from(data)
@@ -62,26 +68,32 @@ class EliasFano:
         return self.n
 
     def select(self, i: int) -> int:
-        """The i-th value, from the nearest sample on."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at = int(self.samples[i // SAMPLE])
-        rest, byte, first = i % SAMPLE, at // 8, at % 8
-        while True:
-            found = np.flatnonzero(np.unpackbits(self.highs[byte : byte + 256], bitorder="little")[first:])
-            if rest < len(found):
-                high = byte * 8 + first + int(found[rest]) - i
-                break
-            rest, byte, first = rest - len(found), byte + 256, 0
-        k = i * self.low
-        word = int.from_bytes(self.lows[k // 8 : (k + self.low + 7) // 8].tobytes(), "little") >> k % 8
-        return high << self.low | word & ((1 << self.low) - 1)
+        """The i-th value."""
+        return int(self.values(i, i + 1)[0])
+
+    def values(self, start: int, stop: int) -> np.ndarray:
+        """The values from start to before stop, selected from the nearest sample on; no others are decoded."""
+        if not 0 <= start <= stop <= self.n:
+            raise IndexError((start, stop))
+        if start == stop:
+            return np.empty(0, np.uint64)
+        at, skip = int(self.samples[start // SAMPLE]), start % SAMPLE
+        need, have, found = skip + stop - start, 0, []
+        byte, first = at // 8, at % 8
+        while have < need:
+            size = max(256, (need - have) // 2)
+            ones = np.flatnonzero(np.unpackbits(self.highs[byte : byte + size], bitorder="little")[first:]) + (byte * 8 + first)
+            found.append(ones)
+            have, byte, first = have + len(ones), byte + size, 0
+        high = (np.concatenate(found)[skip:need] - np.arange(start, stop)).astype(np.uint64) << np.uint64(self.low)
+        k, n = start * self.low, stop - start
+        bits = np.unpackbits(self.lows[k // 8 : (k + n * self.low + 7) // 8], bitorder="little")[k % 8 : k % 8 + n * self.low].reshape(n, self.low)
+        for b in range(self.low):
+            high |= bits[:, b].astype(np.uint64) << np.uint64(b)
+        return high
 
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
-        bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low).astype(np.uint64)
-        return high | (bits << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return self.values(0, self.n)
 
 
 def pack_shard(doc_ids: list, ends: list[int], ids: bytes, width: int) -> bytes:
@@ -108,12 +120,21 @@ class Shard:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
-    def ids_of_documents(self) -> list:
-        return [None] * self.nulls + (self.doc_ids.all() + np.uint64(self.least % 2**64)).view(np.int64).tolist()
+    def bounds(self, start: int, stop: int) -> np.ndarray:
+        """Where documents start to before stop begin, and where the last of them ends."""
+        ends = self.ends.values(max(0, start - 1), stop).astype(np.int64)
+        return ends if start else np.r_[0, ends]
+
+    def ids_of_documents(self, start: int = 0, stop: int | None = None) -> list:
+        stop = self.n if stop is None else stop
+        real = self.doc_ids.values(max(0, start - self.nulls), max(0, stop - self.nulls)) + np.uint64(self.least % 2**64)
+        return [None] * (min(stop, self.nulls) - min(start, self.nulls)) + real.view(np.int64).tolist()
 
 
 class LibraryEncoder(bpe.Encoder):
-    """Chunks and words are kept as in bpe.Encoder; the tokenizers library encodes them."""
+    """Chunks and words are kept as in bpe.Encoder, in a larger store; the tokenizers library encodes them."""
+
+    kept = (96 << 20, 400_000)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -142,18 +163,30 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
     """Encodes every text, ends each document with end_id and writes shards to folder in ascending doc_id order.
 
     Returns the manifest, one row (part, seq, name, n_docs, n_ids) per shard.
-    Null text is the empty text (its ids are the end id alone). Documents with
-    a null doc_id come first; rows that share a doc_id stand in order of their
-    texts. An empty table writes no shard.
+    Null text is the empty text (its ids are the end id alone), a very long one
+    a shard of its own size. Documents with a null doc_id come first; rows that
+    share a doc_id stand in order of their texts, and their texts alone travel
+    with the ids: texts are encoded where they are read, and ids are dealt into
+    ranges. An empty table writes no shard. Only the two named columns are read.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    def encode():
+        own = library_encoder(tokenizer)
+        kind = f"<u{own.width}"
+        end = np.array([end_id], kind).tobytes()
+
+        def step(batch):
+            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in own.encode_batch(texts(batch))]
+            return {"doc_id": batch.column("doc_id"), "tie": batch.column("tie"), "ids": ids}
+
+        step.done = own.forget
+        return step
 
     ddl = "part long, seq long, name string, n_docs long, n_ids long"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = library_encoder(tokenizer)
-        kind = f"<u{own.width}"
-        end = np.array([end_id], kind).tobytes()
+        width = library_encoder(tokenizer).width
         store, base = open_dir(folder)
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids, ends, parts, total = [], [], [], 0
@@ -162,38 +195,51 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             name = f"{part:06d}-{seq:06d}.tok"
             draft = f"{base}/{name}.{TaskContext.get().taskAttemptId()}"
             with store.open_output_stream(draft) as f:
-                f.write(pack_shard(doc_ids, ends, b"".join(parts), own.width))
+                f.write(pack_shard(doc_ids, ends, b"".join(parts), width))
+            if store.get_file_info(f"{base}/{name}").type:  # of an attempt that was lost; it has the same bytes
+                store.delete_file(f"{base}/{name}")
             store.move(draft, f"{base}/{name}")
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "name": name, "n_docs": len(doc_ids), "n_ids": total}], schema=schema)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode_batch(texts(batch))):
-                total += len(ids) // 4 + 1
-                parts.append(np.frombuffer(ids, "<u4").astype(kind).tobytes() + end)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                total += len(ids) // width
+                parts.append(ids)
                 doc_ids.append(doc_id)
                 ends.append(total)
-                if total >= SHARD_IDS:
+                if total >= SHARD_IDS or len(ends) >= SHARD_DOCS:
                     yield close()
                     doc_ids, ends, parts, total, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield close()
 
     open_dir(folder)[0].create_dir(open_dir(folder)[1], recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    manifest = rows.repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text").mapInArrow(run, ddl)
-    return stored(manifest, "token-manifest")
+    with passing() as keep:
+        repeated = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"), F.lit(True).alias("tied")), "token-ties")
+        if repeated.isEmpty():
+            rows = rows.withColumn("tie", F.lit(None).cast("string"))
+        else:
+            rows = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("again")), "left").select("doc_id", "text", F.when(F.col("tied"), F.coalesce("text", F.lit(""))).alias("tie"))
+        encoded = stored(map_batches(rows, encode, "doc_id long, tie string, ids binary"), "token-ids")
+        dealt = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+        return keep(stored(dealt.mapInArrow(run, ddl), "token-manifest"))
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame, keep: bool = False) -> DataFrame:
     """Per document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32; with keep its ids.
 
-    The manifest has a row per shard of SHARD_IDS ids or task; the driver sums
-    their sizes to give each shard its start.
+    Documents' bounds are selected in blocks from the shards' boundaries. The
+    driver sums the shards' sizes per writing task; a window gives each shard
+    its start within the task.
     """
-    start, rows = 0, []
-    for x in sorted(manifest.collect(), key=lambda x: (x.part, x.seq)):
-        rows.append((x.name, start))
-        start += x.n_ids
+    totals, base = [], 0
+    for part, n, shards in sorted(map(tuple, manifest.groupBy("part").agg(F.sum("n_ids"), F.count("*")).collect())):
+        totals.append((part, base, shards))
+        base += n
+    n_shards = sum(x[2] for x in totals)
+    own = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    before = F.broadcast(spark.createDataFrame([x[:2] for x in totals], "part long, base long"))  # a row per task that wrote
+    shards = manifest.join(before, "part").select("name", (F.col("base") + F.coalesce(F.sum("n_ids").over(own), F.lit(0))).alias("start"))
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep
     schema = arrow_schema(ddl)
 
@@ -202,18 +248,17 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, keep: bool = Fal
         for name, start in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))):
             with store.open_input_file(f"{base}/{name}") as f:
                 shard = Shard(f.read())
-            ends = shard.ends.all().astype(np.int64)
-            starts, doc_ids = np.r_[0, ends[:-1]], shard.ids_of_documents()
-            for at in range(0, len(ends), 4096):
-                s, e = starts[at : at + 4096].tolist(), ends[at : at + 4096].tolist()
-                wide = shard.ids[s[0] : e[-1]].astype("<u4")
-                own = [wide[a - s[0] : b - s[0]] for a, b in zip(s, e)]
-                columns = [doc_ids[at : at + 4096], [start + a for a in s], [b - a for a, b in zip(s, e)], [zlib.crc32(x.tobytes()) for x in own]]
+            for at in range(0, shard.n, 1024):
+                stop = min(at + 1024, shard.n)
+                cuts = shard.bounds(at, stop).tolist()
+                wide = shard.ids[cuts[0] : cuts[-1]].astype("<u4")
+                own = [wide[a - cuts[0] : b - cuts[0]] for a, b in zip(cuts, cuts[1:])]
+                columns = [shard.ids_of_documents(at, stop), [start + a for a in cuts[:-1]], [len(x) for x in own], [zlib.crc32(x.tobytes()) for x in own]]
                 columns += [[x.astype(np.int32) for x in own]] * keep
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        release()
 
-    shards = spark.createDataFrame(rows, "name string, start long")
-    return shards.repartition(max(1, len(rows)), "name").mapInArrow(run, ddl)
+    return shards.repartitionByRange(max(1, min(n_shards, MOST_TASKS)), "name").mapInArrow(run, ddl)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
