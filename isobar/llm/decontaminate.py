@@ -2,12 +2,15 @@
 
 Items and texts are sequences of words. An item is in a text if some run of
 the text's words is within the share `edits` of the item's words in word edit
-distance. By the q-gram lemma such a run keeps a number of the item's q-word
-grams within a band of diagonals; only windows around such bands are embedded.
-The CGK walk reads a word per step, emits it and moves on or stays by a random
-bit of the word and step, so that close sequences give embeddings of small
-Hamming distance. Repeated walks and samples of their positions are hashed;
-windows of the item's size that share a bucket with it are verified exactly.
+distance. The CGK walk reads a word per step, emits it and moves on or stays by
+a random bit of the word and step, so that close sequences give embeddings of
+small Hamming distance. Repeated walks and samples of their positions are
+hashed; the buckets of all items are the index, and a window of a text is
+verified exactly against the items whose bucket it meets. Which windows are
+embedded is a matter of cost alone: by the q-gram lemma a run that is close to
+an item keeps a number of the item's q-word grams on nearby diagonals, and
+windows of an item's size where no item of that size has so many are passed
+over, which loses none.
 """
 
 from __future__ import annotations
@@ -22,14 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, texts
+from .common import Store, keep_rows, map_batches, stretches, texts
 
 WORDS = regex.compile(r"\w+").findall
 #: Random walks, hash tables of each, sampled positions of a table.
 WALKS, TABLES, SAMPLED = 12, 12, 2
 #: Words of benchmark items in one block; each block is one pass over the texts.
 BLOCK_WORDS = 2_000_000
-KEPT = 400_000
+#: Words of a text that are gone through at a time, gram matches and windows held at a time.
+PART, HITS, WINDOWS = 1 << 15, 1 << 20, 4096
 NONE = bytes(4)
 
 
@@ -76,23 +80,30 @@ class Index:
         self.vocab: dict[str, int] = {}
         self.items = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64) for _, words in items]
         self.grams = [gram(len(x), edits) for x in self.items]
-        codes: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        codes: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        sizes: dict[int, list[int]] = defaultdict(list)
         for j, x in enumerate(self.items):
             q = self.grams[j][0]
-            for p in range(len(x) - q + 1):
-                codes[q].append((int(self.code(x, q)[p]), j, p))
+            own = self.code(x, q)
+            codes[q].append((own, np.full(len(own), j), np.arange(len(own))))
+            sizes[len(x)].append(j)
         self.seeds = {}
         for q, rows in codes.items():
-            rows.sort()
-            code, item, place = (np.array(c, np.int64) for c in zip(*rows))
-            self.seeds[q] = (code, item, place)
-        longest = max((len(x) for x in self.items), default=0)
+            code, item, at = (np.concatenate(c) for c in zip(*rows))
+            order = np.lexsort((at, item, code))
+            self.seeds[q] = code[order], item[order], at[order]
+        self.longest = max(sizes, default=0)
         rng = np.random.default_rng(5)
-        self.moves = rng.integers(1 << 20, 1 << 62, (2 * longest + 1, WALKS, 1)).astype(np.uint64) | np.uint64(1)
+        self.moves = rng.integers(1 << 20, 1 << 62, (2 * self.longest + 1, WALKS, 1)).astype(np.uint64) | np.uint64(1)
         self.picks = rng.random((WALKS, TABLES, SAMPLED))
-        self.keys = [self.buckets(x[None, :])[0] for x in self.items]
+        #: By size: the buckets of all items of it, ascending, and whose they are.
+        self.index = {}
+        for m, own in sizes.items():
+            keys = np.concatenate([self.buckets(self.items[j], np.zeros(1, np.int64), m) for j in own]).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.index[m] = keys[order], np.repeat(own, WALKS * TABLES)[order]
         self.spelled = {w: np.array([i], "<u4").tobytes() for w, i in self.vocab.items()}
-        self.known: dict[str, bytes] = {}
+        self.known = Store()
 
     def code(self, x: np.ndarray, q: int) -> np.ndarray:
         """Each q-gram as a number, exact for q = 1 and a 64-bit hash beyond; only grams of known words are looked up."""
@@ -103,49 +114,60 @@ class Index:
                 out ^= out >> np.uint64(29)
         return out.view(np.int64)
 
-    def buckets(self, windows: np.ndarray) -> np.ndarray:
-        """Bucket keys of windows of one length m: a row of WALKS x TABLES keys each.
+    def buckets(self, x: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+        """Bucket keys of the windows of m words at starts: a row of WALKS x TABLES keys each.
 
-        All walks step together. Places are sampled within the first 1.8 m
-        steps, where most walks still read the window. A word of number 0, that
-        no item has, moves a walk like any other.
+        All walks step together, reading the text in place; what lies beyond a
+        window or the text's end reads as one mark. Places are sampled within
+        the first 1.8 m steps, where most walks still read the window. A word
+        of number 0, that no item has, moves a walk like any other. Only what
+        is emitted at sampled places is kept.
         """
-        n, m = windows.shape
-        padded = np.c_[windows, np.full(n, -1)].astype(np.uint64)
-        steps = max(1, int(1.8 * m))
-        at, each = np.zeros((WALKS, n), np.int64), np.arange(n)
-        emitted = np.empty((steps, WALKS, n), np.uint64)
+        n, steps = len(starts), max(1, int(1.8 * m))
+        padded = np.r_[x, -1].astype(np.uint64)
+        mark = np.uint64(2**64 - 1)
+        stop = np.minimum(starts + m, len(x))
+        at = np.repeat(starts[None, :], WALKS, axis=0)
+        places = (self.picks * steps).astype(np.int64).reshape(WALKS, TABLES * SAMPLED)
+        emitted = np.empty((WALKS, TABLES * SAMPLED, n), np.uint64)
+        due = [np.nonzero(places == s) for s in range(steps)]
         with np.errstate(over="ignore"):
             for s in range(steps):
-                emitted[s] = padded[each, at]
-                at += ((emitted[s] + np.uint64(1)) * self.moves[s] >> np.uint64(40) & np.uint64(1)).astype(np.int64)
-                np.minimum(at, m, out=at)
+                word = np.where(at < stop, padded[at], mark)
+                walk, slot = due[s]
+                emitted[walk, slot] = word[walk]
+                at += ((word + np.uint64(1)) * self.moves[s] >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+                np.minimum(at, stop, out=at)
             key = np.arange(m * WALKS * TABLES, (m + 1) * WALKS * TABLES, dtype=np.uint64).reshape(WALKS, TABLES, 1) * np.uint64(0x9E3779B97F4A7C15)
-            for places in np.moveaxis((self.picks * steps).astype(int), 2, 0):
-                key = (key ^ emitted[places, np.arange(WALKS)[:, None]]) * np.uint64(0xBF58476D1CE4E5B9)
+            sampled = emitted.reshape(WALKS, TABLES, SAMPLED, n)
+            for k in range(SAMPLED):
+                key = (key ^ sampled[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
                 key ^= key >> np.uint64(31)
         return key.reshape(-1, n).T
 
     def of_chunk(self, chunk: str) -> bytes:
         word = chunk.strip(".,;:!?")
-        if word.isalnum():
+        if word.isascii() and word.isalnum():  # one word, as WORDS has it
             return self.spelled.get(word, NONE)
         return b"".join([self.spelled.get(w, NONE) for w in WORDS(chunk)])
 
     def rows(self, text: str) -> bytes:
-        """A text's words as numbers, 0 where no item has the word."""
-        known = self.known
-        chunks = text.lower().split()
-        for c in set(chunks).difference(known):
-            known[c] = self.of_chunk(c)
-        out = b"".join([known[c] for c in chunks])
-        if len(known) > KEPT:
-            known.clear()
-        return out
-
-    def bands(self, x: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, least, greatest start) where the text keeps enough grams of the item on nearby diagonals."""
-        hits = []
+        """A text's words as numbers of 4 bytes, 0 where no item has the word; words are cut as those of items are."""
+        known, out = self.known, []
+        for part in stretches(text.lower()):
+            chunks = part.split()
+            known.add_all({c: self.of_chunk(c) for c in set(chunks) if c not in known})
+            out.append(b"".join([known[c] for c in chunks]))
+            known.settle()
+        return b"".join(out)
+
+    def read(self, text: str) -> list[tuple[int, int, int, int]]:
+        """find() in a text."""
+        return self.find(np.frombuffer(self.rows(text), "<u4").astype(np.int64))
+
+    def hits(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, diagonal) of all grams that items have in common with a text, some items at a time so that about HITS are held."""
+        found, total = [], 0
         for q, (codes, items, places) in self.seeds.items():
             if len(x) < q:
                 continue
@@ -157,62 +179,92 @@ class Index:
                 continue
             own = self.code(x, q)[at]
             low, high = np.searchsorted(codes, own), np.searchsorted(codes, own, "right")
-            count = high - low
-            if not (total := int(count.sum())):
-                continue
-            entry = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(total)
-            hits.append((items[entry], np.repeat(at, count) - places[entry]))
-        if not hits:
-            return
-        item, diagonal = (np.concatenate(c) for c in zip(*hits))
-        order = np.lexsort((diagonal, item))
-        item, diagonal = item[order], diagonal[order]
-        cuts = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True])
-        for s, e in zip(cuts, cuts[1:]):
-            j = int(item[s])
-            need, k = self.grams[j][1], allowed(len(self.items[j]), self.edits)
-            need = max(1, need)
-            if e - s < need:
-                continue
-            d = diagonal[s:e]
-            good = np.flatnonzero(d[need - 1 :] - d[: e - s - need + 1] <= 2 * k)
-            end = None
-            for g in good.tolist():
-                a, b = int(d[g + need - 1]) - 2 * k, int(d[g]) + 2 * k
-                if end is None or a > end:
-                    if end is not None:
-                        yield j, start, end
-                    start, end = a, b
-                else:
-                    end = max(end, b)
-            if end is not None:
-                yield j, start, end
+            some = high > low
+            if some.any():
+                found.append((at[some], low[some], (high - low)[some], items, places))
+                total += int((high - low).sum())
+        lots = -(-total // HITS)
+        for lot in range(lots):
+            out = []
+            for at, low, count, items, places in found:
+                ends = np.cumsum(count)
+                for s in range(0, int(ends[-1]), HITS):  # HITS entries of the text's grams at a time
+                    e = min(s + HITS, int(ends[-1]))
+                    k = np.searchsorted(ends, np.arange(s, e), "right")
+                    entry = low[k] + np.arange(s, e) - (ends - count)[k]
+                    mine = slice(None) if lots == 1 else items[entry] % lots == lot
+                    out.append((items[entry][mine], (at[k] - places[entry])[mine]))
+            yield tuple(np.concatenate(c) for c in zip(*out))
+
+    def bands(self, x: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """By size of items: ranges of starts, least and greatest, where the text keeps enough grams of an item on nearby diagonals."""
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for item, diagonal in self.hits(x):
+            order = np.lexsort((diagonal, item))
+            item, diagonal = item[order], diagonal[order]
+            cuts = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True])
+            for s, e in zip(cuts, cuts[1:]):
+                j = int(item[s])
+                m = len(self.items[j])
+                need, k = max(1, self.grams[j][1]), allowed(m, self.edits)
+                if e - s < need:
+                    continue
+                d = diagonal[s:e]
+                good = np.flatnonzero(d[need - 1 :] - d[: e - s - need + 1] <= 2 * k)
+                out[m] += zip((d[good + need - 1] - 2 * k).tolist(), (d[good] + 2 * k).tolist())
+        return out
+
+    def candidates(self, x: np.ndarray, m: int, ranges: list[tuple[int, int]]) -> dict[int, np.ndarray]:
+        """By item of m words: ascending starts of windows that meet one of its buckets."""
+        keys, owners = self.index[m]
+        near = np.zeros(len(x) + 1, np.int64)
+        for a, b in ranges:
+            near[min(max(a, 0), len(x))] += 1
+            near[min(max(b + 1, 0), len(x))] -= 1
+        starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
+        for at in range(0, len(starts), WINDOWS):
+            some = starts[at : at + WINDOWS]
+            own = self.buckets(x, some, m)
+            low = np.searchsorted(keys, own)
+            window, table = np.nonzero(keys[np.minimum(low, len(keys) - 1)] == own)
+            low = low[window, table]
+            while len(window):  # all items of a bucket, one after the other
+                for j in np.unique(owners[low]):
+                    found[int(j)].append(some[np.unique(window[owners[low] == j])])
+                more = (low + 1 < len(keys)) & (keys[np.minimum(low + 1, len(keys) - 1)] == keys[low])
+                window, low = window[more], low[more] + 1
+        return {j: np.unique(np.concatenate(s)) for j, s in found.items()}
 
     def find(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of each item in a text, at its best place; x: the text's words as numbers."""
+        """(item, edits, start, end) of each item in a text, at its best place; x: the text's words as numbers.
+
+        A long text is gone through in parts that overlap by the longest item
+        and its edits.
+        """
         best: dict[int, tuple[int, int, int]] = {}
-        for j, start, end in self.bands(x):
-            m = len(self.items[j])
-            if m == 0 or best.get(j, (1,))[0] == 0:
-                continue
-            k = allowed(m, self.edits)
-            starts = np.arange(max(start, 0), min(end, len(x) - 1) + 1)
-            if not len(starts):
-                continue
-            windows = np.pad(x, (0, m), constant_values=-1)[starts[:, None] + np.arange(m)]
-            for at in range(0, len(starts), 4096):
-                hit = (self.buckets(windows[at : at + 4096]) == self.keys[j]).any(axis=1)
-                near = starts[at : at + 4096][hit]
-                for group in np.split(near, np.flatnonzero(np.diff(near) > m) + 1) if len(near) else []:
-                    low, high = max(0, int(group[0]) - k), int(group[-1]) + m + k
-                    d, s, e = distance(self.items[j], x[low:high])
-                    if d <= k and (j not in best or (d, low + s) < best[j][:2]):
-                        best[j] = (d, low + s, low + e)
+        over = self.longest + 4 * allowed(self.longest, self.edits) + 4
+        for first in range(0, max(1, len(x) - over), PART):
+            own = x[first : first + PART + over]
+            for m, ranges in self.bands(own).items():
+                k = allowed(m, self.edits)
+                for j, near in self.candidates(own, m, ranges).items():
+                    for group in np.split(near, np.flatnonzero(np.diff(near) > m) + 1):
+                        if best.get(j, (1,))[0] == 0:
+                            break
+                        low, high = max(0, int(group[0]) - k), int(group[-1]) + m + k
+                        d, s, e = distance(self.items[j], own[low:high])
+                        if d <= k and (j not in best or (d, first + low + s) < best[j][:2]):
+                            best[j] = (d, first + low + s, first + low + e)
         return [(j, *v) for j, v in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame, edits: float, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """Indexes of the items in blocks of about BLOCK_WORDS words; items without words are left out."""
+    """Indexes of the items in blocks of about BLOCK_WORDS words; items without words are left out.
+
+    The driver holds one block at a time: what tasks get of it Spark ships as a
+    broadcast file once the next is made.
+    """
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / (6 * BLOCK_WORDS)))
@@ -229,41 +281,45 @@ def matches(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, id_col: s
 
     n_edits is the word edit distance, at most the share edits of the item's
     words; start counts the text's words. Case, punctuation and white space
-    don't count. Null or empty texts have no match, empty items match nothing;
-    null ids stay null; repeated rows give repeated rows; an empty table on
-    either side gives none. Only the named columns are read.
+    don't count; words are runs of letters, digits and _ in items and texts
+    alike. Null or empty texts have no match, empty items match nothing; very
+    long texts are gone through in parts that overlap, very long items take
+    memory by their words and few windows. Null ids stay null; repeated rows
+    give repeated rows; an empty table on either side gives none. Only the
+    named columns are read.
     """
-    spark = docs.sparkSession
     ddl = "doc_id long, item_id long, n_edits long, start long, n_words long"
-    schema = arrow_schema(ddl)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = spark.createDataFrame([], ddl)
+    out = docs.sparkSession.createDataFrame([], ddl)
     for index in blocks(benchmark, edits):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+        def make(index=index):
+            def step(batch):
                 found = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                    x = np.frombuffer(index.rows(text), "<u4").astype(np.int64)
-                    found += [(doc_id, index.ids[j], d, s, e - s) for j, d, s, e in index.find(x)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+                    found += [(doc_id, index.ids[j], d, s, e - s) for j, d, s, e in index.read(text)]
+                return dict(zip(("doc_id", "item_id", "n_edits", "start", "n_words"), zip(*found) if found else ([],) * 5))
 
-        out = out.union(rows.mapInArrow(run, ddl))
+            step.done = index.known.clear
+            return step
+
+        out = out.union(map_batches(rows, make, ddl))
     return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, text_col: str = "text") -> DataFrame:
-    """docs that hold no benchmark item, all columns and repeated rows kept; ids don't matter, and null texts stay."""
-    schema = docs.schema
-    arrow = arrow_schema(schema)
+    """docs that hold no benchmark item, all columns and repeated rows kept; ids don't matter, and null texts stay.
+
+    An empty benchmark keeps all, an empty table of documents stays empty.
+    """
     for index in blocks(benchmark, edits):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [not index.find(np.frombuffer(index.rows(t), "<u4").astype(np.int64)) for t in texts(batch, text_col)]
-                if any(clean):
-                    yield pa.RecordBatch.from_arrays(batch.filter(pa.array(clean)).columns, schema=arrow)
+        def make(index=index):
+            def step(batch):
+                return [not index.read(t) for t in texts(batch, text_col)]
+
+            step.done = index.known.clear
+            return step
 
-        docs = docs.mapInArrow(run, schema)
+        docs = keep_rows(docs, make)
     return docs
