@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, stored, texts
+from .common import arrow_schema, fresh, passing, pieces, release, stored, texts
 
-#: Lines of fewer characters are never removed.
+#: Lines of fewer characters are not removed, by default, nor ever for an edit: one edit makes another word of a short line.
 LEAST = 20
 BLOCKS = 16
 #: Two primes and bases of the polynomial hashes.
@@ -81,43 +81,52 @@ def half_keys(line: Column, n: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, line_no, line) per line of docs (doc_id, text), lines parted by line feeds."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """One row (doc_id, doc, line_no, line) per line of docs (doc_id, doc, text), lines parted by line feeds."""
+    return docs.select("doc_id", "doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def first_seen(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc_id, line_no, h1, h2) of lines of LEAST characters or more, and distinct lines with their first place."""
-    rows = lines_of(docs).withColumn("n", F.char_length("line")).filter(F.col("n") >= LEAST)
-    rows = rows.select("doc_id", "line_no", "n", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
-    places = rows.select("h1", "h2", "n", F.struct("doc_id", "line_no").alias("place"), half_keys(F.col("line"), F.col("n")).alias("keys"))
-    firsts = places.groupBy("h1", "h2", "n", "keys").agg(least_place(F.col("place")).alias("first"), F.count("*").alias("copies"))
-    return rows.select("doc_id", "line_no", "h1", "h2"), firsts
+def first_seen(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (doc_id, doc, line_no, h1, h2) of lines of `least` characters or more, and distinct lines with their first place and keys."""
+    rows = lines_of(docs).withColumn("n", F.char_length("line")).filter(F.col("n") >= least)
+    rows = rows.select("doc_id", "doc", "line_no", "n", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    keys = half_keys(F.col("line"), F.col("n"))
+    if least < LEAST:
+        keys = F.when(F.col("n") >= LEAST, keys).otherwise(F.array().cast("array<bigint>"))
+    places = rows.select("h1", "h2", "n", place().alias("place"), keys.alias("keys"))
+    firsts = places.groupBy("h1", "h2", "n", "keys").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
+    return rows.select("doc_id", "doc", "line_no", "h1", "h2"), firsts
 
 
-def least_place(place: Column) -> Column:
-    """The earliest place; a null doc_id comes last."""
-    return F.min(F.struct(place["doc_id"].isNull().alias("none"), place["doc_id"].alias("doc_id"), place["line_no"].alias("line_no")))
+def place() -> Column:
+    """Where a line is, the earliest least: by doc_id, null last, then line number; doc tells rows of one doc_id apart."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"), F.col("doc").alias("doc"))
 
 
 def shared(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key another row has too; counted with map-side sums first, so that no key's rows meet in one task."""
-    often = rows.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1").select(*key)
+    """Rows whose key another row has too; keys are counted with map-side sums into a table, so that adaptive execution can split a hot one's rows in the join."""
+    often = stored(rows.groupBy(*key).agg(F.count("*").alias("n_")).filter("n_ > 1").select(*key), "line-keys")
     return rows.join(often, key, "left_semi")
 
 
+FIRST = "first struct<none: boolean, doc_id: bigint, line_no: int, doc: bigint>"
+
+
 def near_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """One row (first, earliest) per distinct line with an earlier line within one edit: the earliest of these."""
-    # a line's first place, and its hash, as rows that share a doc_id may differ in text
-    named = firsts.withColumn("first", F.struct(F.col("first.none").alias("none"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "h1"))
-    halves = named.select("first", F.explode("keys").alias("key"))
+    """One row (first, earliest) per distinct line with an earlier line within one edit: the earliest of these.
+
+    A line is known by its first place; (doc_id, doc) there tells one text, so
+    that rows of one doc_id, or of none, are not gathered.
+    """
+    halves = firsts.select("first", F.explode("keys").alias("key"))
     wanted = shared(halves, ["key"]).select("first").distinct()
-    per_doc = wanted.groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_set(F.struct("first.line_no", "first.h1")).alias("nos"))
-    rows = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", F.explode("nos").alias("at"), F.split("text", "\n").alias("all"))
-    rows = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at.line_no", "at.h1").alias("first"), F.get("all", F.col("at.line_no")).alias("line"))
-    lines = stored(rows.filter(F.xxhash64("line") == F.col("first.h1")).dropDuplicates(["first"]), "near-lines")
+    per_doc = wanted.groupBy(F.col("first.doc_id").alias("id"), F.col("first.doc").alias("of")).agg(F.collect_list("first.line_no").alias("nos"))
+    per_doc = stored(per_doc, "near-wanted")  # a table, so that rows that repeat a text can be split in the join
+    rows = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("doc") == F.col("of")))
+    rows = rows.select("doc_id", "doc", F.explode("nos").alias("line_no"), F.split("text", "\n").alias("all"))
+    lines = stored(rows.select(place().alias("first"), F.get("all", F.col("line_no")).alias("line")).dropDuplicates(["first"]), "near-lines")
 
     def cut_blocks(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 out = [[], [], [], []]
@@ -128,9 +137,10 @@ def near_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
                             col.append(x)
                 k, block, w, key = map(np.concatenate, out)
                 yield pa.RecordBatch.from_arrays([some.column("first").take(pa.array(k)), pa.array(block, pa.int32()), pa.array(w, pa.int32()), pa.array(key, pa.int64())], schema=block_schema)
+        release()
 
     def delete(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
                 out = [[], [], [], []]
@@ -143,11 +153,11 @@ def near_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
                     out[1].append(np.r_[own.without(zero, zero), own.without(spots, spots + 1)])
                     out[2].append(np.r_[-1, spots])
                     out[3].append(np.r_[own.n, np.full(len(spots), own.n - 1)])
-                k, key, place, n = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([some.column("first").take(pa.array(k)), pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(n, pa.int32())], schema=variant_schema)
+                k, key, at_, n = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays([some.column("first").take(pa.array(k)), pa.array(key, pa.int64()), pa.array(at_, pa.int32()), pa.array(n, pa.int32())], schema=variant_schema)
+        release()
 
-    first = "first struct<none: boolean, doc_id: bigint, line_no: int, h1: bigint>"
-    block_ddl, variant_ddl = f"{first}, block int, w int, key long", f"{first}, key long, place int, n int"
+    block_ddl, variant_ddl = f"{FIRST}, block int, w int, key long", f"{FIRST}, key long, place int, n int"
     block_schema, variant_schema = arrow_schema(block_ddl), arrow_schema(variant_ddl)
     cut = shared(lines.mapInArrow(cut_blocks, block_ddl), ["block", "w", "key"])
     open_blocks = cut.groupBy("first").agg(F.collect_set(F.struct("block", "w")).alias("blocks"))
@@ -157,57 +167,61 @@ def near_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     swaps = variants.join(swapped, ["key", "place", "n"]).select("first", "earliest")
     sides = variants.groupBy("key", "n").agg(F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("cut")).filter("whole is not null and cut is not null")
     grown = variants.join(sides, ["key", "n"]).select("first", F.when(F.col("place") < 0, F.col("cut")).otherwise(F.col("whole")).alias("earliest"))
-    place = lambda c: F.struct(F.col(c)["none"], F.col(c)["doc_id"], F.col(c)["line_no"])
-    pairs = swaps.union(grown).filter(place("earliest") < place("first")).distinct()
+    before = lambda c: F.struct(F.col(c)["none"], F.col(c)["doc_id"], F.col(c)["line_no"])
+    pairs = swaps.union(grown).filter(before("earliest") < before("first")).distinct()
     a = lines.select("first", F.col("line").alias("line_a"))
     b = lines.select(F.col("first").alias("earliest"), F.col("line").alias("line_b"))
     # places compare by columns, as a null doc_id is a value here
-    keyed = lambda df, c: df.withColumn(f"k_{c}", F.concat_ws(":", F.coalesce(F.col(c)["doc_id"].cast("string"), F.lit("")), F.col(c)["line_no"].cast("string"), F.col(c)["h1"].cast("string")))
+    keyed = lambda df, c: df.withColumn(f"k_{c}", F.concat_ws(":", F.coalesce(F.col(c)["doc_id"].cast("string"), F.lit("")), F.col(c)["line_no"].cast("string"), F.col(c)["doc"].cast("string")))
     found = keyed(keyed(pairs, "first"), "earliest").join(keyed(a, "first").drop("first"), "k_first").join(keyed(b, "earliest").drop("earliest"), "k_earliest")
     found = found.filter((F.levenshtein("line_a", "line_b", 1) >= 0) & (F.levenshtein("line_a", "line_b", 1) <= 1))
     return found.groupBy("first").agg(F.min("earliest").alias("earliest"))
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, line_no, h1) per line of docs to remove.
+def dropped_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """A table with one row (doc_id, doc, gone) per text of docs (doc_id, doc, text) that loses lines: the numbers of these.
 
     A line goes if an earlier place, by (doc_id, line number), has the same
     line, or if the line's first place has an earlier line within one edit.
     """
-    rows, firsts = first_seen(docs)
-    firsts = stored(firsts, "line-firsts")
-    near = near_links(docs, firsts)
-    flat = firsts.select("h1", "h2", "copies", "first")
-    near = near.select(F.col("first").alias("f"), F.lit(True).alias("near"))
-    same = (F.col("h1") == F.col("f.h1")) & (F.col("first.none") == F.col("f.none")) & F.col("first.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("first.line_no") == F.col("f.line_no"))
-    bad = flat.join(near, same, "left").filter("copies > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")))
-    return rows.join(bad, ["h1", "h2"]).filter(F.col("near") | later).select("doc_id", "line_no", "h1")
-
-
-def code(no: Column, h1: Column) -> Column:
-    """Line number and 40 bits of the line's hash in one number."""
-    return F.shiftleft(no.cast("long"), 40).bitwiseOR(h1.bitwiseAND(F.lit((1 << 40) - 1)))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    with passing() as keep:
+        rows, firsts = first_seen(docs, least)
+        firsts = stored(firsts, "line-firsts")
+        with passing() as on:
+            near = on(stored(near_links(docs, firsts), "line-near"))
+        near = near.select(F.col("first").alias("f"), F.lit(True).alias("near"))
+        same = (F.col("first.doc") == F.col("f.doc")) & F.col("first.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("first.line_no") == F.col("f.line_no"))
+        bad = firsts.select("h1", "h2", "copies", "first").join(near, same, "left").filter("copies > 1 or near")
+        bad = stored(bad.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-bad")
+        later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")))
+        gone = rows.join(bad, ["h1", "h2"]).filter(F.col("near") | later)
+        return keep(stored(gone.groupBy("doc_id", "doc").agg(F.collect_set("line_no").alias("gone")), "line-gone"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """docs with near-repeated lines removed from text; n_lines and n_dropped are added, other columns stay.
 
-    Of lines of LEAST characters or more that are equal or within one edit,
-    the earliest by (doc_id, line number) stays; a line also goes if the
-    earlier one that it resembles goes. Null text stays null and has no lines;
-    a text may become empty. A null doc_id comes after all others. Rows that
-    share doc_id and text keep the same lines; the first of equal lines under
-    one doc_id and line number stays in each. An empty table gives none.
+    Of lines of `least` characters or more that are equal, and of those of
+    LEAST or more within one edit, the earliest by (doc_id, line number) stays;
+    a line also goes if the earlier one that it resembles goes. Null text stays
+    null and has no lines; a text may become empty; very long texts and lines
+    are read whole. A null doc_id comes after all others. Rows that share
+    doc_id and text keep the same lines; the first of equal lines under one
+    doc_id and line number stays in each. An empty table gives none. Columns of
+    docs that are called n_lines or n_dropped are replaced, others of any name
+    are kept.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    gone = dropped_lines(plain).groupBy("doc_id").agg(F.collect_set(code(F.col("line_no"), F.col("h1"))).alias("_gone")).withColumnRenamed("doc_id", "_id")
-    df = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    df = df.withColumn("_lines", F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"))
-    codes = F.transform("_lines", lambda x, i: code(i, F.xxhash64(x)))
-    df = df.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_except(codes, F.col("_gone"))))
-    lines = F.col("_lines")
-    left = F.array_join(F.transform("_kept", lambda k: F.get(lines, F.shiftright(k, 40).cast("int"))), "\n")
-    df = df.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long"))
-    df = df.withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long"))
-    return df.withColumn(text_col, F.when(F.col("n_dropped") > 0, left).otherwise(F.col(text_col))).drop("_gone", "_lines", "_kept")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc"), text.alias("text"))
+    own_id, own_doc, gone, all_lines, left = fresh(docs, "id", "doc", "gone", "lines", "left")
+    found = dropped_lines(plain, least).toDF(own_id, own_doc, gone)
+    df = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_doc)), "left").drop(own_id, own_doc)
+    df = df.withColumn(all_lines, F.split(text, "\n"))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(gone))
+    df = df.withColumn(left, F.when(F.col(gone).isNotNull(), numbers))
+    lines = F.col(all_lines)
+    kept = F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long")
+    n_dropped = F.when(F.col(gone).isNull(), 0).otherwise(F.size(all_lines) - F.size(left)).cast("long")
+    df = df.withColumns({"n_lines": n_lines, "n_dropped": n_dropped})
+    return df.withColumn(text_col, F.when(F.col("n_dropped") > 0, kept).otherwise(F.col(text_col))).drop(gone, all_lines, left)
