@@ -1,12 +1,14 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 Fingerprints of 64 bits come from word shingles. Two fingerprints within the
-radius r agree on at least two of r + 2 bit blocks, so each distinct
-fingerprint goes to one bucket per pair of blocks. Within a bucket the
+radius r agree on at least c of r + c bit blocks, so each distinct fingerprint
+goes to one bucket per choice of c blocks, c by their number. Within a bucket the
 fingerprints stand as bit planes (64 lanes a word); the distances of all lanes
 are counted at once by a carry-save counter, plane after plane, and a block of
 lanes is abandoned once every lane has passed the radius. Buckets report a
-spanning forest, never all pairs, and components() joins the forests.
+spanning forest, never all pairs, and components() joins the forests. A crowded
+bucket is first compared with its leaders; what these don't join is then
+compared with all of it.
 
 For groups by a similarity of shingle sets, where fingerprints lie further
 apart than blocks of bits can find, candidates come from buckets of pairs of
@@ -26,12 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, map_batches, stored, whole_text
+from .common import arrow_schema, components, fresh, map_batches, passing, stored, whole_text
 
 BITS = 64
 SEED = 42
-#: Fingerprints of one tile; a larger bucket is cut into pairs of tiles.
-TILE = 2048
+#: Fingerprints of one tile, and about as many leaders of a larger bucket.
+TILE, LEADERS = 2048, 64
 #: Least hashes of a sketch, one byte of each; buckets by two of them.
 LEAST, BANDS = 128, 12
 #: A candidate's share of equal bytes may fall short of the similarity by over 4 deviations, as sets are judged after it.
@@ -241,11 +243,16 @@ def compare_runs(radius: int, share: float | None = None):
     return run
 
 
-def block_masks(radius: int) -> list[int]:
-    """Masks of every two of radius + 2 blocks: any two fingerprints within the radius agree under one of them."""
-    cuts = np.linspace(0, BITS, radius + 3).round().astype(int)
+def agreeing(n: int) -> int:
+    """On how many blocks fingerprints of a bucket agree: so many that buckets of n stay small; each step takes more buckets a fingerprint."""
+    return 2 if n < 1 << 26 else 3 if n < 1 << 32 else 4
+
+
+def block_masks(radius: int, agree: int = 2) -> list[int]:
+    """Masks of every `agree` of radius + agree blocks: any two fingerprints within the radius agree under one of them."""
+    cuts = np.linspace(0, BITS, radius + agree + 1).round().astype(int)
     blocks = [sum(1 << b for b in range(s, e)) for s, e in zip(cuts, cuts[1:])]
-    masks = [x | y for x, y in combinations(blocks, 2)]
+    masks = [sum(some) for some in combinations(blocks, agree)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -288,37 +295,67 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(whole_text(text_col))
 
 
-def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of prints (fp) within radius bits: a spanning forest per bucket.
+def near_links(prints: DataFrame, radius: int = 4, agree: int = 2) -> DataFrame:
+    """Links (a, b) between distinct fingerprints of prints (fp) within radius bits, that span their groups."""
+    masks = block_masks(radius, agree)
+    rows = prints.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)))).alias("bucket"))
+    return bucket_links(rows, "fp", compare_runs(radius))
 
-    A bucket of more than TILE fingerprints is dealt into pairs of tiles, so
-    that no task holds more than two tiles of it.
-    """
-    rows = prints.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(block_masks(radius))))).alias("bucket"))
-    hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
-    tiles = tiled(rows.join(hot, "bucket", "left"))
-    return tiles.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(compare_runs(radius), "a long, b long")
 
+def bucket_links(rows: DataFrame, node: str, compare, of_node: DataFrame | None = None, tile: int | None = None) -> DataFrame:
+    """Links (a, b) that span what compare links within the buckets of rows (bucket, node).
 
-def tiled(rows: DataFrame, name: str = "fp", *more: str) -> DataFrame:
-    """Rows (bucket, name, n, more) as (bucket, side, name, more): a bucket of n over TILE as pairs of tiles, each a bucket of two sides."""
-    cut = rows.withColumn("k", F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64(F.col(name), F.lit("tile")), F.col("k")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return cut.select(F.when(F.col("k") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).alias("bucket"), (F.col("own") > F.col("other")).cast("int").alias("side"), name, *more)
+    compare takes batches sorted by bucket, with a side for each row, and
+    of_node has more columns for it by node. Buckets of up to `tile` rows (TILE)
+    are compared whole. Of a larger one each tile is compared with the bucket's
+    leaders, about LEADERS rows by hash. What then is not of the bucket's
+    largest component is compared with all of it, in pairs of tiles; pairs
+    within that component are joined already. So a crowd around one text takes
+    work in proportion to its size, no link between components is lost, and no
+    task holds more than two tiles of a bucket.
+    """
+    tile = tile or TILE
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        dealt = dealt if of_node is None else dealt.join(of_node, node)
+        return dealt.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(compare, "a long, b long")
+
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    crowded = stored(sizes.filter(F.col("n") > tile), "crowded")
+    roomy = rows if crowded.isEmpty() else rows.join(crowded.select("bucket"), "bucket", "left_anti")
+    if of_node is not None:  # rows get more columns only where there is something to compare
+        roomy = roomy.join(sizes.filter(F.col("n").between(2, tile)), "bucket")
+    roomy = roomy.select("bucket", node, F.lit(0).alias("side"))
+    if crowded.isEmpty():
+        return linked(roomy)
+    mix = F.xxhash64(F.col(node), F.col("bucket"))
+    members = rows.join(crowded, "bucket").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn("own", F.pmod(mix, F.col("tiles")).cast("int"))
+    members = stored(members.select("bucket", node, "n", "tiles", "own"), "crowd")
+    leads = F.pmod(F.xxhash64(mix), F.ceil(F.col("n") / LEADERS)) == 0
+    dealt = members.withColumn("at", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("own"))))
+    dealt = dealt.select(F.xxhash64("bucket", "at").alias("bucket"), node, F.lit(0).alias("side"))
+    first = stored(linked(roomy).union(linked(dealt)), "crowd-links")
+    roots = components(first, "crowd-roots").withColumnRenamed("node", "of")
+    members = stored(members.join(roots, F.col(node) == F.col("of"), "left").withColumn("root", F.coalesce("root", node)).drop("of"), "crowd-members")
+    shares = members.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    most = stored(shares.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.max("c").alias("c")), "crowd-most")
+    named = members.join(most, "bucket").withColumn("lots", F.ceil((F.col("n") - F.col("c")) / tile).cast("int")).filter("lots > 0")
+    # pairs of a lot of what is apart (side 0) and a tile of all (side 1)
+    left = named.filter("root <> most").withColumn("lot", F.pmod(mix, F.col("lots")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    right = named.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).withColumn("at", F.col("own"))
+    pairs = [x.select(F.xxhash64("bucket", "lot", "at").alias("bucket"), node, F.lit(side).alias("side")) for side, x in enumerate((left, right))]
+    return first.union(linked(pairs[0].union(pairs[1])))
 
 
 def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between distinct nodes of prints (node, fp, sketch, bands) whose shingle sets may be alike: a spanning forest per bucket.
+    """Links (a, b) between distinct nodes of prints (node, fp, sketch, bands) whose shingle sets may be alike, that span their groups.
 
-    Nodes that share a pair of least hashes are compared within WIDE
-    bits and then by sketch; rows carry sketches only once their bucket is
-    known to hold two of them.
+    Nodes that share a pair of least hashes are compared within WIDE bits and
+    then by sketch; rows carry sketches only once their bucket is known to hold
+    two of them.
     """
     rows = prints.select("node", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    tiles = tiled(rows.join(sizes, "bucket"), "node").join(prints.select("node", "fp", "sketch"), "node")
-    return tiles.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(compare_runs(WIDE, similarity - SLACK), "a long, b long")
+    return bucket_links(rows, "node", compare_runs(WIDE, similarity - SLACK), prints.select("node", "fp", "sketch"))
 
 
 def reached(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -377,71 +414,88 @@ def judge_runs(similarity: float):
     return run
 
 
-def exact_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) that span the groups of nodes of prints by the exact similarity of their shingle sets.
+def exact_links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that span the groups of nodes of distinct by the exact similarity of their shingle sets.
 
     similar_links() give groups that hold these; within each, the sets of one
-    text a node are compared. A group of more than TILE nodes is dealt into
-    pairs of tiles.
+    text a node are compared.
     """
 
     def make():
         def step(batch):
             sets = [np.unique(shingle_hashes(x or b"", width)).tobytes() for x in batch.column("text").to_pylist()]
-            return {"node": batch.column("node"), "root": batch.column("root"), "shingles": sets}
+            return {"node": batch.column("node"), "shingles": sets}
 
         return step
 
-    loose = components(similar_links(prints, similarity), "simhash-loose").join(prints.select("node", "one.*"), "node")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
-    rows = loose.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "root", "text")
-    sets = stored(map_batches(rows, make, "node long, root long, shingles binary").dropDuplicates(["node"]), "simhash-sets")
-    sizes = sets.groupBy("root").agg(F.count("*").alias("n"))
-    tiles = tiled(sets.join(sizes, "root").withColumnRenamed("root", "bucket"), "node", "shingles")
-    return tiles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge_runs(similarity), "a long, b long")
+    with passing() as keep:
+        loose = components(similar_links(distinct, similarity), "simhash-loose")
+        wanted = stored(loose.join(distinct.select("node", "first.doc_id", "first.text_hash"), "node").select("node", "doc_id", "text_hash"), "simhash-wanted")
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
+        rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
+        sets = stored(map_batches(rows, make, "node long, shingles binary").dropDuplicates(["node"]), "simhash-sets")
+        links = bucket_links(loose.select(F.col("root").alias("bucket"), "node"), "node", judge_runs(similarity), sets, max(2, TILE // 4))
+        return keep(stored(links, "simhash-exact"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """One row (doc_id, fp, component_id) per row of docs; component_id is the least doc_id of the linked group.
+def least_of_groups(distinct: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(key, least): the least `first` of each key's group, for the keys of the table distinct (key, first); links join keys.
 
-    Rows with a null doc_id are linked like any other and get the least
-    non-null id of their group, or null. Repeated rows give repeated rows; an
-    empty table gives none. Only the two named columns of docs are read.
+    What groups share is a table, so that adaptive execution can split the
+    keys of a large group when they are joined with it.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, width), "simhash")
-    known = groups(prints, lambda distinct: near_links(distinct.select("fp"), radius))
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    with passing() as keep:
+        roots = components(links, "simhash-links").withColumnRenamed("node", key)
+        linked = stored(distinct.select(key, "first").join(roots, key), "simhash-linked")
+        least = stored(linked.groupBy("root").agg(F.min("first").alias("least")), "simhash-least")
+        alone = distinct.join(roots, key, "left_anti").select(key, F.col("first").alias("least"))
+        return keep(stored(linked.join(least, "root").select(key, "least").union(alone), "simhash-known"))
 
 
-def groups(prints: DataFrame, link, key: str = "fp") -> DataFrame:
-    """Per distinct key of stored prints its group's least doc_id and least text_hash of rows without an id.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """One row (doc_id, fp, component_id) per row of docs; component_id is the least doc_id of the linked group.
 
-    Rows of one key are one node; link gives the links between nodes.
+    Rows with a null doc_id are linked like any other and get the least
+    non-null id of their group, or null. A null text is the empty text, whose
+    fingerprint is zero; a very long one is read whole. Repeated rows give
+    repeated rows; an empty table gives none. Only the two named columns of
+    docs are read.
     """
-    more = ["fp", "sketch", "bands", F.struct("doc_id", "text_hash").alias("one")] if key == "node" else []
-    distinct = prints.groupBy(key).agg(F.min("doc_id").alias("first_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("first_hash"), *([F.min(F.struct(*more)).alias("m")] if more else []))
-    if more:
-        distinct = stored(distinct.select(key, "first_id", "first_hash", "m.*"), "simhash-distinct")
-    roots = components(link(distinct), "simhash-links").withColumnRenamed("node", key)
-    known = distinct.join(roots, key, "left").withColumn("root", F.coalesce("root", key)).select(key, "root", "first_id", "first_hash")
-    known = stored(known, "simhash-roots")
-    least = known.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first_hash").alias("least_hash"))
-    return known.join(least, "root").select(key, "component_id", "least_hash")
+    with passing() as keep:
+        prints = keep(stored(fingerprints(docs, id_col, text_col, width), "simhash"))
+        distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+        links = near_links(distinct.select("fp"), radius, agreeing(distinct.count()))
+        known = keep(least_of_groups(distinct, links, "fp"))
+        return prints.join(known, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near-duplicates: of each group of texts of like shingle sets the document with the least id stays, with all its columns.
+    """docs without near-duplicates: of each group of texts of like shingle sets the row with the least id stays, with all its columns.
 
     Links are pairs whose sets of width-word shingles have a Jaccard
     similarity of `similarity` or more; sketches only choose what is compared.
-    doc_id names a document: of rows that share one, one stays. Of a group
-    whose ids are all null the text of the least hash stays, once. Null texts
-    and texts without words are one group.
+    Rows are told apart by id and text: of rows that share an id, each text is
+    judged by itself. Null ids come after all others; among rows of one id, and
+    of none, that of the least text hash stays. Of rows that share id and text
+    one stays, that of the least hash of the other columns (maps aside). Null
+    texts and texts without words are one group; very long ones are read whole.
+    An empty table gives an empty one; columns of any names are kept.
     """
-    prints = stored(sketches(docs, id_col, text_col, width), "simhash")
-    found = prints.join(groups(prints, lambda distinct: exact_links(distinct, docs, id_col, text_col, width, similarity), "node"), "node")
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    kept = found.filter("component_id is null and text_hash = least_hash").select(F.col("text_hash").alias("_hash")).distinct()
-    nameless = docs.filter(F.col(id_col).isNull()).withColumn("_hash", text_hash(text_col))
-    return named.unionByName(nameless.join(kept, "_hash", "left_semi").dropDuplicates(["_hash"]).drop("_hash"))
+    with passing() as keep:
+        prints = stored(sketches(docs, id_col, text_col, width), "simhash")
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+        distinct = prints.groupBy("node").agg(F.min(F.struct(place.alias("first"), "fp", "sketch", "bands")).alias("m"))
+        distinct = stored(distinct.select("node", "m.*"), "simhash-distinct")
+        known = least_of_groups(distinct, exact_links(distinct, docs, id_col, text_col, width, similarity), "node")
+        kept = keep(stored(known.select("least.none", F.coalesce("least.doc_id", F.lit(0)).alias("id"), F.col("least.text_hash").alias("hash")).distinct(), "simhash-kept"))
+        repeats = prints.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
+        repeats = keep(stored(repeats.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash")), "simhash-repeats"))
+    own = fresh(docs, "none", "id", "hash")
+    key = dict(zip(own, (F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0)), text_hash(text_col))))
+    found = docs.withColumns(key).join(kept.toDF(*own), own, "left_semi")
+    if repeats.isEmpty():
+        return found.drop(*own)
+    once = found.join(repeats.toDF(*own), own, "left_anti").drop(*own)
+    more = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    again = found.join(repeats.toDF(*own), own, "left_semi").groupBy(*own).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*more)).alias(own[0] + "_row"))
+    return once.unionByName(again.select(own[0] + "_row.*"))
