@@ -14,6 +14,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -22,13 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import Store, map_batches, stretches, texts
 
 NEVER = np.int64(1) << 40
 #: Starts a chunk that is one pre-token as it stands; no text holds it.
 MARK = "\ud800"
-#: Words and chunks whose ids a worker keeps; each store starts anew when full.
-KEPT = 400_000
+#: Characters of texts whose chunks are held at a time.
+HELD = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -45,6 +46,11 @@ def settled(letter: str) -> bool:
     return unicodedata.ucd_3_2_0.category(letter) != "Cn"
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Pieces:
     """A text's pre-tokens under a tokenizer file of this kind: NFC, lower case, a split that keeps matches."""
 
@@ -58,7 +64,7 @@ class Pieces:
         lower = pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\x20\x09-\x0d")
         self.ascii = re.compile(lower).findall
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.spec = spec
+        self.rules = {k: spec[k] for k in ("version", "normalizer", "pre_tokenizer")}
         self.rare = re.compile("[^\x00-\u024f]").search
         self.marks = {MARK + s for s in self.added}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split
@@ -81,7 +87,8 @@ class Pieces:
         from tokenizers import Tokenizer
 
         if not hasattr(self, "library"):
-            self.library = Tokenizer.from_str(json.dumps(self.spec))
+            model = {"type": "BPE", "vocab": {}, "merges": []}
+            self.library = Tokenizer.from_str(json.dumps({**self.rules, "added_tokens": [], "model": model}))
             self.bytes = {ord(x): b for b, x in enumerate(byte_letters())}
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [MARK + bytes(self.bytes[ord(x)] for x in piece).decode() for piece, _ in found]
@@ -110,18 +117,15 @@ class Merges:
         self.text = [""] * size
         for s, i in [*vocab.items(), *((x["content"], x["id"]) for x in spec["added_tokens"])]:
             self.text[i] = s
-        self.merge = {}
-        for r, (a, b) in enumerate(pairs):
-            x, y, z = vocab[a], vocab[b], vocab[a + b]
-            if self.merge.setdefault((x, y), (r, z)) != (r, z) or self.rank[z] >= 0:
-                raise ValueError("two merges give one token")
-            self.left[z], self.right[z], self.rank[z] = x, y, r
-        code = np.array([x << 32 | y for x, y in self.merge], np.int64)
-        order = np.argsort(code)
-        self.codes, self.code_ranks = code[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
+        self.by_rank = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        x, y, z = np.array([vocab[a] for a, _ in pairs], np.int64), np.array([vocab[b] for _, b in pairs], np.int64), self.by_rank
+        if len(np.unique(z)) < len(z) or len(np.unique(x << 32 | y)) < len(z):
+            raise ValueError("two merges give one token")
+        self.left[z], self.right[z], self.rank[z] = x, y, np.arange(len(z))
+        order = np.argsort(x << 32 | y)
+        self.codes, self.code_ranks = (x << 32 | y)[order], order
         self.inner = {s: i for s, i in vocab.items() if not s.endswith(tail)}
         self.final = {s[: -len(tail)]: i for s, i in vocab.items() if s.endswith(tail)}
-        self.by_rank = np.array([z for _, z in sorted(self.merge.values())], np.int64)
         self.longest = max(map(len, self.inner))
         self.canonical = np.ones(size, bool)
         made = np.flatnonzero(self.rank >= 0)
@@ -237,40 +241,65 @@ class Merges:
 
 
 class Encoder:
-    """Whole texts to ids and back; keeps the ids of up to KEPT words and chunks."""
+    """Whole texts to ids and back; the ids of words and chunks are kept in a store that is bounded by bytes."""
+
+    #: Bytes and lot of the store.
+    kept = (40 << 20, 120_000)
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.pieces, self.merges = Pieces(spec), Merges(spec)
         self.added = {MARK + s: np.array([i], "<u4").tobytes() for s, i in self.pieces.added.items()}
-        self.words: dict[str, bytes] = dict(self.added)
-        self.known: dict[str, bytes] = dict(self.added)
+        self.known = Store(*self.kept)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the store."""
+        self.known.clear()
+        self.known.update(self.added)
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         return self.merges.encode(words)
 
     def learn(self, chunks: set[str]) -> None:
-        """Encodes the chunks that aren't known yet."""
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known = {c: self.known[c] for c in chunks if c in self.known} | self.added
+        """Encodes the chunks that aren't known yet; a word is a chunk too."""
+        known = self.known
+        known.settle()
+        known.update(self.added)
+        new = [c for c in chunks if c not in known]
         split = [self.pieces.of_chunk(c) for c in new]
-        words = [w for w in set().union(*split) if w not in self.words]
-        if len(self.words) + len(words) > KEPT:
-            words, self.words = [w for w in set().union(*split) if w not in self.added], dict(self.added)
-        for w, ids in zip(words, self.encode_words(words)):
-            self.words[w] = np.array(ids, "<u4").tobytes()
-        of = self.words
+        self.learn_words(set().union(*split))
         for c, x in zip(new, split):
-            self.known[c] = of[x[0]] if len(x) == 1 else b"".join([of[w] for w in x])
+            if c not in known:
+                known.add(c, b"".join([known[w] for w in x]))
+
+    def learn_words(self, words: set[str]) -> None:
+        """Encodes the pre-tokens that aren't known yet."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        for w, ids in zip(new, self.encode_words(new)):
+            known.add(w, little(ids))
+
+    def encode(self, text: str) -> bytes:
+        """A text's ids, a stretch at a time."""
+        out = []
+        for part in stretches(text, HELD):
+            chunks = self.pieces.chunks(part)
+            self.learn(set(chunks))
+            out.append(b"".join([self.known[c] for c in chunks]))
+        return b"".join(out)
 
     def encode_batch(self, batch: list[str]):
-        """Each text's ids as little-endian unsigned 32-bit integers; a few texts' chunks are held at a time."""
+        """Each text's ids as little-endian unsigned 32-bit integers; chunks of about HELD characters are held at a time."""
         at = 0
         while at < len(batch):
+            if len(batch[at]) > HELD:
+                yield self.encode(batch[at])
+                at += 1
+                continue
             pieces, size = [], 0
-            while at < len(batch) and size < 4_000_000:
+            while at < len(batch) and size < HELD and len(batch[at]) <= HELD:
                 pieces.append(self.pieces.chunks(batch[at]))
                 size += len(batch[at]) + 1
                 at += 1
@@ -292,9 +321,10 @@ def encoder(path: str) -> Encoder:
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256; with keep also ids and decoded.
 
-    Null text is the empty text, which has no ids; a null doc_id stays null;
-    repeated rows give repeated rows, an empty table none. Other columns of
-    docs are not read. tokenizer is a path that every executor has.
+    Null text is the empty text, which has no ids; a very long one is encoded
+    a stretch at a time; a null doc_id stays null; repeated rows give repeated
+    rows, an empty table none. Other columns of docs are not read. tokenizer is
+    a path that every executor has.
     """
 
     def make():
@@ -312,6 +342,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                     out["decoded"].append(decoded)
             return out
 
+        step.done = own.forget
         return step
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep

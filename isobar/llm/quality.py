@@ -10,6 +10,7 @@ didn't learn from.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,15 +18,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_batches, texts
+from .common import Store, arrow_schema, keep_rows, map_batches, pieces, release, stretches, texts
 
 ROWS, DIM, NONZERO, NEAR = 1 << 14, 64, 4, 2
-#: Rows of the vectors' table in one piece of a sum.
-PIECE = 256
-KEPT = 400_000
+#: Rows of the vectors' table in one piece of a sum, and tasks whose pieces are summed at first.
+PIECE, TASKS = 256, 1024
 CLIP = 2.5
 CORE = regex.compile(r"\p{L}+|[^\p{L}\s]+").findall
 FEATURES = 2 * DIM + 4
@@ -35,6 +36,9 @@ def row_of(token: str) -> int:
     return zlib.crc32(token.encode()) % ROWS
 
 
+CAPITALS = row_of("\0capitals")
+
+
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Columns and signs of each row's index vector: NONZERO of DIM, drawn from a fixed seed."""
     rng = np.random.default_rng(7)
@@ -45,7 +49,7 @@ class Words:
     """Texts as rows of the vectors' table: letter runs in lower case, runs of other signs, and a mark for capitals."""
 
     def __init__(self):
-        self.known: dict[str, bytes] = {}
+        self.known = Store()
 
     def of_chunk(self, chunk: str) -> bytes:
         out = []
@@ -53,20 +57,37 @@ class Words:
             if x[0].isalpha():
                 out.append(row_of(x.lower()))
                 if len(x) > 1 and x.isupper():
-                    out.append(row_of("\0capitals"))
+                    out.append(CAPITALS)
             else:
                 out.append(row_of("".join(sorted(set("0" if c.isdigit() else c for c in x))) + str(min(len(x), 4))))
-        return np.array(out, "<u2").tobytes()
+        return struct.pack(f"<{len(out)}H", *out)
 
     def __call__(self, text: str) -> np.ndarray:
-        chunks = text.split()
-        known = self.known
-        for c in set(chunks).difference(known):
-            known[c] = self.of_chunk(c)
-        out = np.frombuffer(b"".join([known[c] for c in chunks]), "<u2")
-        if len(known) > KEPT:
-            known.clear()
-        return out
+        known, out = self.known, []
+        for part in stretches(text):
+            chunks = part.split()
+            known.add_all({c: self.of_chunk(c) for c in set(chunks) if c not in known})
+            out.append(b"".join([known[c] for c in chunks]))
+            known.settle()
+        return np.frombuffer(b"".join(out), "<u2")
+
+
+#: Words whose contexts are added at once.
+BLOCK = 100_000
+
+
+def add_texts(total: np.ndarray, held: list[np.ndarray], columns: np.ndarray, signs: np.ndarray) -> None:
+    """Adds the contexts of several texts, given as rows, BLOCK words at a time; words NEAR a cut are seen from both sides."""
+    rows, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [*map(len, held)])
+    for at in range(0, len(rows), BLOCK):
+        end = min(at + BLOCK, len(rows))
+        add_contexts(total, rows[at:end], columns, signs, owner[at:end])
+        low, high = max(at, end - NEAR), min(end + NEAR, len(rows))
+        for i in range(low, end):  # pairs across the cut
+            for j in range(end, min(i + NEAR + 1, high)):
+                if owner[i] == owner[j]:
+                    for x, y in ((rows[i], rows[j]), (rows[j], rows[i])):
+                        np.add.at(total, int(x) * DIM + columns[y], signs[y])
 
 
 def add_contexts(total: np.ndarray, rows: np.ndarray, columns: np.ndarray, signs: np.ndarray, kept: np.ndarray | None = None) -> None:
@@ -88,38 +109,47 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The table of word vectors over all rows of docs, rows of unit length.
 
     Each task sums its share into one table of fixed size and hands it on in
-    pieces; the pieces are summed as they stream by. The driver gets ROWS x DIM
+    pieces. The pieces of TASKS tasks at a time are summed as they stream by,
+    and these sums once more, so that a reducer reads a bounded number of
+    pieces of a table however many tasks there are. The driver gets ROWS x DIM
     numbers, whatever the corpus.
     """
-    ddl = "piece int, sums binary"
+    ddl = "piece int, tasks int, sums binary"
     schema = arrow_schema(ddl)
 
+    def batch_of(sums: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int32()), pa.array([t for _, t in sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], schema=schema)
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = Words(), np.zeros(ROWS * DIM)
         columns, signs = index_vectors()
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             held, size = [], 0
             for k, text in enumerate(texts(batch)):
                 held.append(words(text))
                 size += len(held[-1])
-                if size > 200_000 or k == batch.num_rows - 1:
-                    owner = np.repeat(np.arange(len(held)), [*map(len, held)])
-                    add_contexts(total, np.concatenate(held), columns, signs, owner)
+                if size > BLOCK or k == batch.num_rows - 1:
+                    add_texts(total, held, columns, signs)
                     held, size = [], 0
-        pieces = total.astype(np.int32).reshape(-1, PIECE * DIM)
-        some = [k for k in range(len(pieces)) if pieces[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pieces[k].tobytes() for k in some], pa.binary())], schema=schema)
+        found = total.astype(np.int32).reshape(-1, PIECE * DIM)
+        group = TaskContext.get().partitionId() // TASKS
+        yield batch_of({(k, group): x for k, x in enumerate(found) if x.any()})
+        words.known.clear()
+        del words, total, columns, signs, found
+        release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, t, x in zip(*(c.to_pylist() for c in batch.columns)):
                 x = np.frombuffer(x, np.int32 if len(x) == PIECE * DIM * 4 else np.int64)
-                sums[k] = sums.get(k, 0) + x.astype(np.int64)
+                sums[k, t] = sums.get((k, t), 0) + x.astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], schema=schema)
+            yield batch_of(sums)
+        release()
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(local, ddl).repartition("piece").mapInArrow(gather, ddl).collect()
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(local, ddl).repartition("piece", "tasks").mapInArrow(gather, ddl)
+    found = found.withColumn("tasks", F.lit(0)).repartition("piece").mapInArrow(gather, ddl).collect()
     table = np.zeros((ROWS // PIECE, PIECE * DIM))
     for r in found:
         table[r.piece] = np.frombuffer(r.sums, np.int64)
@@ -217,6 +247,7 @@ def features(docs: DataFrame, vectors: np.ndarray, extra: str = "") -> DataFrame
             out = {n: batch.column(n) for n in batch.schema.names if n != "text"}
             return out | {"x": [pooled(words(t), vectors).tobytes() for t in texts(batch)]}
 
+        step.done = words.known.clear
         return step
 
     return map_batches(docs, make, f"doc_id long, {extra}x binary")
@@ -226,11 +257,13 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label: str = "q
     """A network from at most `most` labelled documents whose remainder isn't 0, the least by hash of doc_id.
 
     Rows with a null id or label don't count; of several labels of a document
-    the least holds. Without any row to learn from every score is 0.5.
+    the least holds, and of several texts that of the least hash, so that
+    `most` bounds what reaches the driver. Without any row to learn from every
+    score is 0.5.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     known = known.filter(remainder(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
+    rows = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = features(rows, vectors, "y int, ").collect()
     if not found:
         return Network(np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0)
@@ -245,9 +278,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """One row per row of docs: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted.
 
     Word vectors come from all documents, the network from labelled rows that
-    aren't held out. Null text is the empty text and gets a score too; a null
-    doc_id stays null; repeated rows give repeated rows, an empty table none.
-    Other columns are never read.
+    aren't held out. Null text is the empty text and gets a score too, a very
+    long one is read whole, a stretch at a time; a null doc_id stays null;
+    repeated rows give repeated rows, an empty table none. Other columns are
+    never read.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     vectors = word_vectors(plain)
@@ -260,6 +294,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = np.array([pooled(words(t), vectors) for t in texts(batch)])
             return {"doc_id": batch.column("doc_id"), "score": net(x)}
 
+        step.done = words.known.clear
         return step
 
     out = map_batches(plain, make, "doc_id long, score double")
@@ -267,18 +302,23 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
-    """docs without those that score() predicts 0, all columns kept; scores are by text, ids of any kind may repeat."""
+    """docs without those that score() predicts 0, all columns kept whatever their names.
+
+    Scores are by text alone: ids of any kind may repeat or be null, repeated
+    rows stay or go together, a null text is judged as the empty text and a
+    very long one as a whole. An empty table gives an empty one.
+    """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vectors = word_vectors(plain)
     net = fit(plain, labels, vectors, most=most)
-    names, schema = docs.columns, docs.schema
-    arrow = arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         words = Words()
-        for batch in batches:
-            if batch.num_rows:
-                good = net(np.array([pooled(words(t), vectors) for t in texts(batch)])) >= threshold
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good)).columns, schema=arrow)
 
-    return docs.select(names).mapInArrow(run, schema)
+        def step(batch):
+            return net(np.array([pooled(words(t), vectors) for t in texts(batch)])) >= threshold
+
+        step.done = words.known.clear
+        return step
+
+    return keep_rows(docs, make)
