@@ -18,7 +18,8 @@ def signed(x):
 
 
 def bottom(text):
-    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.encode().split() and [b.decode() for b in text.encode().split()]]
+    words = [b.decode() for b in text.encode().split()]
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in (words if len(words) >= 5 else " ".join(words))]
     if len(h) < 5:
         found = [xxhash.xxh64_intdigest(" ".join(str(signed(x)) for x in h).encode(), 42)] if h else []
     else:
@@ -54,6 +55,7 @@ def sample():
     random.seed(5)
     word = lambda: "".join(random.choices("abcéß", k=random.randint(1, 5)))
     rows = [(i * 3, " ".join(word() for _ in range(random.choice([0, 1, 4, 5, 30, 200])))) for i in range(60)]
+    rows += [(500, "一二三四五六七八九十" * 9), (501, "一二三四五六七八九十" * 9 + "百"), (502, "😀 ab"), (503, "four"), (504, "a b  c d")]
     return rows + [(7, None), (9, rows[5][1]), (9, rows[5][1]), (9, "other text of the same id"), (None, "no id at all here I think"), (None, None), (400, "\n x\ty " * 3000)]
 
 
@@ -77,3 +79,18 @@ def test_anchors_do_not_depend_on_context(spark):
     docs = spark.createDataFrame([(1, "a b c " + passage + " d e"), (2, "x " + passage)], "doc_id long, text string")
     found = {(r.doc_id, r.position): r.anchor for r in syncmers.anchors(docs).collect()}
     assert {p - 3: a for (d, p), a in found.items() if d == 1 and 3 <= p <= 38} == {p - 1: a for (d, p), a in found.items() if d == 2 and 1 <= p <= 36}
+
+
+def test_rows_that_repeat_very_often(spark, monkeypatch):
+    rows = [(None, None)] * 70 + [(k, f"text {k} of a few words {k}") for k in range(30)] + [(None, f"no id {k % 3}") for k in range(40)] + [(12, "again and again and again")] * 45
+    monkeypatch.setattr(syncmers, "BUCKET", 5)
+    monkeypatch.setattr(syncmers, "COPIES", 16)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(syncmers.fingerprint_edited(docs)) == brute(rows)
+
+
+def test_texts_without_blanks_go_by_characters(spark):
+    text = "".join(chr(0x4E00 + i * i % 997) for i in range(300))
+    docs = spark.createDataFrame([(2, text), (1, text[150:])], "doc_id long, text string")
+    found = {r.doc_id: r for r in syncmers.fingerprint_edited(docs).collect()}
+    assert 0.2 < found[2].near_edited < 1 and 0.2 < found[2].near_next < 1
