@@ -244,7 +244,7 @@ class Encoder:
     """Whole texts to ids and back; the ids of words and chunks are kept in a store that is bounded by bytes."""
 
     #: Bytes and lot of the store.
-    kept = (40 << 20, 120_000)
+    kept = (48 << 20, 160_000)
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -342,7 +342,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                     out["decoded"].append(decoded)
             return out
 
-        step.done = own.forget
+        step.done = own.known.trim
         return step
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep

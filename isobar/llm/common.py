@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 PIECE_BYTES = 2 << 20
 #: Bytes that stay in a worker's Store, entries met once that it may hold besides, and slots that tell which were met before.
 STORE_BYTES, ONCE, SLOTS = 32 << 20, 60_000, 1 << 20
+#: Bytes that stay in a Store between tasks.
+TRIMMED = 16 << 20
 #: Characters of a stretch of a long text.
 STRETCH = 1 << 20
 
@@ -219,13 +221,26 @@ class Store(dict):
         self.update(found)
         self.bytes += sum(map(len, found)) + 160 * len(found)
 
+    def forget_once(self) -> None:
+        for key in self.once:
+            del self[key]
+        self.once = []
+        if self.marks > SLOTS // 2:
+            self.seen, self.marks = bytearray(SLOTS), 0
+
+    def trim(self) -> None:
+        """What a worker keeps between tasks: the first entries that stay, up to TRIMMED bytes."""
+        self.forget_once()
+        if self.bytes > TRIMMED:
+            n = len(self) * TRIMMED // self.bytes
+            stay, seen, marks = [x for _, x in zip(range(n), self.items())], self.seen, self.marks
+            self.clear()
+            self.update(stay)
+            self.bytes, self.seen, self.marks = TRIMMED, seen, marks
+
     def settle(self) -> None:
         if len(self.once) > self.lot:
-            for key in self.once:
-                del self[key]
-            self.once = []
-            if self.marks > SLOTS // 2:
-                self.seen, self.marks = bytearray(SLOTS), 0
+            self.forget_once()
         if self.bytes > self.most:
             met = set(self.once)
             stay = [x for x in self.items() if x[0] not in met]

@@ -10,6 +10,7 @@ didn't learn from.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,12 @@ def row_of(token: str) -> int:
 CAPITALS = row_of("\0capitals")
 
 
+@functools.cache
+def worker_words() -> Words:
+    """The reader of a worker, which keeps what it knows of words, trimmed, between tasks."""
+    return Words()
+
+
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Columns and signs of each row's index vector: NONZERO of DIM, drawn from a fixed seed."""
     rng = np.random.default_rng(7)
@@ -121,7 +128,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int32()), pa.array([t for _, t in sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], schema=schema)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(), np.zeros(ROWS * DIM)
+        words, total = worker_words(), np.zeros(ROWS * DIM)
         columns, signs = index_vectors()
         for batch in (p for b in batches for p in pieces(b)):
             held, size = [], 0
@@ -134,8 +141,8 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         found = total.astype(np.int32).reshape(-1, PIECE * DIM)
         group = TaskContext.get().partitionId() // TASKS
         yield batch_of({(k, group): x for k, x in enumerate(found) if x.any()})
-        words.known.clear()
-        del words, total, columns, signs, found
+        words.known.trim()
+        del total, columns, signs, found
         release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,13 +248,13 @@ def remainder(doc_id) -> F.Column:
 def features(docs: DataFrame, vectors: np.ndarray, extra: str = "") -> DataFrame:
     """Pooled features as bytes (x) beside doc_id and the columns of extra."""
     def make():
-        words = Words()
+        words = worker_words()
 
         def step(batch):
             out = {n: batch.column(n) for n in batch.schema.names if n != "text"}
             return out | {"x": [pooled(words(t), vectors).tobytes() for t in texts(batch)]}
 
-        step.done = words.known.clear
+        step.done = words.known.trim
         return step
 
     return map_batches(docs, make, f"doc_id long, {extra}x binary")
@@ -288,13 +295,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     net = fit(plain, labels, vectors, most=most)
 
     def make():
-        words = Words()
+        words = worker_words()
 
         def step(batch):
             x = np.array([pooled(words(t), vectors) for t in texts(batch)])
             return {"doc_id": batch.column("doc_id"), "score": net(x)}
 
-        step.done = words.known.clear
+        step.done = words.known.trim
         return step
 
     out = map_batches(plain, make, "doc_id long, score double")
@@ -313,12 +320,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most:
     net = fit(plain, labels, vectors, most=most)
 
     def make():
-        words = Words()
+        words = worker_words()
 
         def step(batch):
             return net(np.array([pooled(words(t), vectors) for t in texts(batch)])) >= threshold
 
-        step.done = words.known.clear
+        step.done = words.known.trim
         return step
 
     return keep_rows(docs, make)

@@ -10,6 +10,7 @@ ones and updates the sums on the paths of the touched blocks.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import unicodedata
@@ -71,8 +72,13 @@ class Counter:
         return words, alike
 
     def done(self) -> None:
-        self.known.clear()
-        self.encoder.forget()
+        self.known.trim()
+        self.encoder.known.trim()
+
+
+@functools.lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    return Counter(path)
 
 
 class TokenTree:
@@ -195,7 +201,7 @@ def count_edited(docs: DataFrame, tokenizer: str, edits=edits_of, id_col: str =
     """
 
     def make():
-        count = Counter(tokenizer)
+        count = counter(tokenizer)
 
         def step(batch):
             all_texts = texts(batch)

@@ -179,7 +179,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in own.encode_batch(texts(batch))]
             return {"doc_id": batch.column("doc_id"), "tie": batch.column("tie"), "ids": ids}
 
-        step.done = own.forget
+        step.done = own.known.trim
         return step
 
     ddl = "part long, seq long, name string, n_docs long, n_ids long"
