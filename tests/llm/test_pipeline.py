@@ -14,7 +14,7 @@ from .test_simhash import similar_kept
 
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
-    """A tenth of the documents of the smallest tables and some odd rows, with all labels and benchmark items."""
+    """The smallest tables' documents and some odd rows, with all labels and benchmark items."""
     folder = tmp_path_factory.mktemp("tables")
     source = "/root/testdata/sf0.001"
     odd = spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -63,3 +63,20 @@ def brute_distance_at_most(item, words):
     if len(set(item) & set(words)) < len(set(item)) - k:
         return False
     return brute_distance(item, words) <= k
+
+
+def test_empty_table(spark, small, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and found.count() == 0
+
+
+def test_repeated_and_null_ids(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    twice = docs.unionByName(docs.limit(15)).unionByName(docs.limit(25).selectExpr("cast(null as bigint) as doc_id", "concat(text, ' and ', reverse(text)) as text", "lang", "source", "n_chars"))
+    twice.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = [r.doc_id for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()]
+    assert len(kept) > 10 and len({x for x in kept if x is not None}) == sum(x is not None for x in kept)

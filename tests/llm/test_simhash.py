@@ -182,3 +182,53 @@ def test_similar_sets_with_other_repeats_are_found(spark):
     kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
     assert not [k for k in kept if k < 1000 and k % 3 == 1]
     assert not [k for k in kept if k >= 1000 and k % 2]
+
+
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    """Each text of a shared id is judged by itself, however rows are dealt and whatever columns are called."""
+    text = {x: " ".join(f"{x}{i}" for i in range(30)) for x in "abc"}
+    rows = [(1, text["a"], 5, "x"), (2, text["a"], 6, "x"), (2, text["b"], 7, "y"), (2, text["b"], 3, "z"), (None, text["c"], 1, "n"), (None, text["c"] + " more", 2, "n"), (None, text["b"], 9, "n")]
+    layouts = []
+    for parts in (1, 2, 5):
+        docs = spark.createDataFrame(rows if parts < 5 else rows[::-1], "doc_id long, text string, hash int, _hash string").repartition(parts)
+        got = simhash.keep_first(docs)
+        assert got.columns == docs.columns
+        layouts.append(sorted(map(tuple, got.collect()), key=str))
+    assert layouts[0] == layouts[1] == layouts[2]
+    assert [(r[0], r[1]) for r in layouts[0] if r[0]] == [(1, text["a"]), (2, text["b"])]
+    assert len(layouts[0]) == 3 and layouts[0][-1][0] is None and layouts[0][-1][1].startswith(text["c"])
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """A crowd around one print, a chain and loners, in buckets of many tiles with few leaders."""
+    import random
+
+    random.seed(3)
+    centre, far = 0x1234567812345678, 0x7234567812345678 ^ 0xFF00
+    prints = {centre ^ (1 << random.randrange(40)) ^ (1 << random.randrange(40)) for _ in range(250)}
+    at = far
+    for _ in range(60):
+        at ^= (1 << random.randrange(40)) | (1 << random.randrange(40))
+        prints.add(at)
+    prints |= {centre ^ random.getrandbits(24) for _ in range(80)}
+    monkeypatch.setattr(simhash, "TILE", 8)
+    monkeypatch.setattr(simhash, "LEADERS", 2)
+    rows = sorted(prints)
+    want = list(range(len(rows)))
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if bin(rows[i] ^ rows[j]).count("1") <= 4]
+    for _ in rows:
+        before = list(want)
+        for i, j in close:
+            want[i] = want[j] = min(want[i], want[j])
+        if want == before:
+            break
+    for agree in (2, 3):
+        got = {r.node: r.root for r in components(simhash.near_links(spark.createDataFrame([(x,) for x in rows], "fp long"), 4, agree)).collect()}
+        assert [got.get(x, x) for x in rows] == [rows[k] for k in want]
+
+
+def test_blocks_by_number():
+    assert [len(simhash.block_masks(4, simhash.agreeing(n))) for n in (10, 1 << 30, 1 << 40)] == [15, 35, 70]
+    for agree in (2, 3, 4):
+        masks = [m & (2**64 - 1) for m in simhash.block_masks(4, agree)]
+        assert all(any(not difference & m for m in masks) for difference in (0, 0xF, 0x8000400020001000, 1 | 1 << 63, 0x8000000100010001))

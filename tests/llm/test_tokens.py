@@ -110,3 +110,81 @@ def test_count_edited(spark, library):
     assert all(r.n_edited == len(ids_of(library, r.edited)) for r in got)
     long = next(r for r in got if r.doc_id == 3)
     assert long.n_encoded < 30 < long.n_chunks
+
+
+def test_long_edit_chains(library):
+    """Texts of up to 1000 words, emptied and edited again, with blocks cut anew."""
+    rng, count = random.Random(4), token_counts.Counter(word_bpe())
+    for trial in range(60):
+        some = lambda k: "".join(rng.choices(LETTERS if trial % 2 else "abc def's, 12\n", k=k))
+        text = " ".join(some(rng.randint(0, 9)) for _ in range(rng.choice([0, 200, 600, 1000])))
+        tree = token_counts.TokenTree(text, count)
+        for _ in range(8):
+            a, b = rng.choice([(0, len(text)), (rng.randint(0, len(text)), len(text) + 3), (k := rng.randint(0, len(text)), k + rng.choice([0, 1, 5, 3000]))])
+            new = rng.choice(["", some(4), " ", "\n", " ".join(some(6) for _ in range(600))])
+            a, b = min(a, len(text)), max(min(a, len(text)), min(b, len(text)))
+            text = text[:a] + new + text[b:]
+            tree.edit(a, b, new)
+            assert tree.text() == text and tree.n_tokens == len(ids_of(library, text))
+
+
+def test_leaves_are_pre_tokens(library):
+    tree = token_counts.TokenTree("Hello, it's 12 naïve\u0301 worlds!", token_counts.Counter(word_bpe()))
+    assert tree.of_block[0][:, 0].tolist() == [5, 2, 2, 3, 1, 2, 7, 6, 1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**63), min_size=1, max_size=2500), st.sampled_from([1, 2**20, 2**62]), st.data())
+def test_elias_fano_ranges(values, scale, data):
+    values = sorted(v // scale for v in values)
+    found = token_files.EliasFano(token_files.EliasFano.encode(np.array(values, np.uint64)))
+    start = data.draw(st.integers(0, len(values)))
+    stop = data.draw(st.integers(start, len(values)))
+    assert found.values(start, stop).tolist() == values[start:stop]
+
+
+def test_many_rows_of_one_id(spark, library, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_DOCS", 7)
+    rows = [(None, f"text {k % 11}") for k in range(60)] + [(5, f"t{k}") for k in range(40)]
+    got = sorted(token_files.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), word_bpe()).collect(), key=lambda r: r.start)
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[1])):
+        n = len(ids_of(library, t)) + 1
+        want.append((i, start, n))
+        start += n
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == want
+
+
+def test_store_is_bounded(monkeypatch):
+    from isobar.llm import common
+
+    store = common.Store(60_000, 100)
+    for k in range(5000):
+        store.settle()
+        store.add(f"w{k % 1500}", b"1234")
+        assert len(store) <= 600
+    store.trim()
+    assert not store.once
+    plain = common.Store(60_000)
+    for k in range(5000):
+        plain.add_all({f"w{k}": b"12"})
+        plain.settle()
+        assert len(plain) < 500
+    monkeypatch.setattr(common, "TRIMMED", 20_000)
+    plain.trim()
+    assert 0 < len(plain) < 200
+
+
+def test_pieces_and_stretches(monkeypatch):
+    import pyarrow as pa
+
+    from isobar.llm import common
+
+    monkeypatch.setattr(common, "PIECE_BYTES", 100)
+    batch = pa.RecordBatch.from_pydict({"i": list(range(40)), "text": ["x" * (k * 7 % 90) if k % 5 else None for k in range(40)]})
+    found = [*common.pieces(batch)]
+    assert len(found) > 5 and [x for p in found for x in p.column("i").to_pylist()] == list(range(40))
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column("text").to_pylist()) <= 200 for p in found)
+    text = "".join(random.choices("ab \n", k=3000))
+    parts = [*common.stretches(text, 64)]
+    assert "".join(parts) == text and all(p[-1].isspace() for p in parts[:-1]) and max(map(len, parts)) < 120
