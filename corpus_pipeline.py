@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from isobar.llm import bpe, decontaminate, line_dedup, quality, simhash
-from isobar.llm.common import stored
+from isobar.llm.common import forget, passing, stored
 from isobar.llm.queries import table, word_bpe
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,7 +26,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id."""
+    """Of each group of near-duplicates the document of the least id; rows of one id are told apart by their texts."""
     return simhash.keep_first(docs).select(*COLUMNS)
 
 
@@ -53,8 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES in turn over documents, each result written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    """STAGES in turn over documents, each result written to the shared folder and read again; what a stage leaves besides goes with it."""
+    docs = before = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with passing() as keep:
+            docs = keep(stored(stage(spark, before, sf_dir), f"pipeline-{name}"))
+        if k:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
