@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import Axis, GridDataset, axis_frame
@@ -25,14 +26,16 @@ def get_dim_coords(ds: GridDataset, key: str, var: str | None = None) -> Axis |
     return found[0] if len(found) == 1 else found
 
 
-def get_coords_by_name(ds: GridDataset, key: str) -> Axis:
-    """The first axis with one of the usual names of a kind."""
+def get_coords_by_name(ds: GridDataset, key: str) -> Axis | DataFrame:
+    """The first axis with one of the usual names of a kind, or a variable of such a name: a coordinate of two dimensions, as its fact's column."""
     from ..plans.model import NAMES
 
     check_key(key)
     for name in NAMES[key]:
         if name in ds.axes:
             return ds.axes[name]
+        if len(ds.variables.get(name, ())) > 1:
+            return ds.fact_of(name)
     raise KeyError(f"No {key!r} axis goes by a usual name.")
 
 
@@ -94,8 +97,11 @@ def swap_lon_axis(ds: GridDataset, to: tuple[float, float], sort_ascending: bool
             ds = ds.with_axis(new)
             continue
         mapping = axis_frame(ds.spark, "_new", {"_old": old[order].astype(np.int32)})
-        if any(a.name in dims for dims in ds.variables.values()):
-            fact = ds.fact.join(F.broadcast(mapping), ds.fact[a.idx] == mapping["_old"]).drop("_old", a.idx).withColumnRenamed("_new", a.idx)
-            ds = ds.with_(fact=fact.select(ds.fact.columns))
-        ds = ds.with_axis(new)
+
+        def moved(fact, dims, a=a, mapping=mapping):
+            if a.name not in dims:
+                return fact
+            return fact.join(F.broadcast(mapping), fact[a.idx] == mapping["_old"]).drop("_old", a.idx).withColumnRenamed("_new", a.idx).select(fact.columns)
+
+        ds = ds.each_frame(moved).with_axis(new)
     return ds

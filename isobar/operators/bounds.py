@@ -122,14 +122,16 @@ def add_time_bounds(ds: GridDataset, method: str, freq: str | None = None, daily
 
 
 def add_missing_bounds(ds: GridDataset, axes: tuple[str, ...] = ("X", "Y", "T")) -> GridDataset:
-    """Bounds for the axes that lack them: calendar periods for time, midpoints else; axes of one point or undecoded time are passed over."""
+    """Bounds for the axes that lack them: calendar periods for time, midpoints else.
+
+    Axes of one point or undecoded time, and those whose units or frequency
+    give no bounds, are passed over with a warning.
+    """
     for key in axes:
         check_key(key)
-        for a in [a for a in ds.axes.values() if key in a.keys()]:
-            if a.has_bounds() or len(a) < 2:
-                continue
-            if key == "T" and not a.decoded:
-                log.warning("%s is not decoded; it gets no bounds", a.name)
-                continue
-            ds = ds.with_axis(time_bounds(a) if key == "T" else midpoint_bounds(key, a))
+        for a in [a for a in ds.axes.values() if key in a.keys() and not a.has_bounds()]:
+            try:
+                ds = ds.with_axis(time_bounds(a) if key == "T" else midpoint_bounds(key, a))
+            except (ValueError, TypeError) as e:
+                log.warning("%s", e)
     return ds

@@ -31,12 +31,15 @@ def same_values(one: GridDataset, two: GridDataset, var: str) -> bool:
 
 
 def compare_datasets(one: GridDataset, two: GridDataset) -> dict[str, list[str]]:
-    """Names of axes and variables that only one dataset has, that differ in values, and that differ in attributes too."""
+    """Names of axes and variables that only one dataset has, that differ in values or axes, and that differ in these or attributes."""
     out = {
         "unique_coords": sorted(set(one.axes) ^ set(two.axes)),
         "unique_data_vars": sorted(set(one.variables) ^ set(two.variables)),
         "nonidentical_coords": sorted(n for n in set(one.axes) & set(two.axes) if not same_axis(one.axes[n], two.axes[n], True)),
         "nonequal_coords": sorted(n for n in set(one.axes) & set(two.axes) if not same_axis(one.axes[n], two.axes[n], False)),
     }
-    differ = sorted(v for v in set(one.variables) & set(two.variables) if not same_values(one, two, v))
-    return out | {"nonidentical_data_vars": differ, "nonequal_data_vars": differ}
+    both = sorted(set(one.variables) & set(two.variables))
+    differ = [v for v in both if one.dims_of(v) != two.dims_of(v) or set(one.dims_of(v)) & set(out["nonequal_coords"]) or not same_values(one, two, v)]
+    attrs = lambda ds, v: ds.attrs.get("variables", {}).get(v, {})
+    more = [v for v in both if v not in differ and (set(one.dims_of(v)) & set(out["nonidentical_coords"]) or attrs(one, v) != attrs(two, v))]
+    return out | {"nonidentical_data_vars": sorted(differ + more), "nonequal_data_vars": differ}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendars as C
-from ..plans.model import Axis, GridDataset, axis_frame
+from ..plans.model import Axis, GridDataset, axis_frame, joined
 from .bounds import infer_freq
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -130,9 +130,10 @@ def prepare(points: Points, mode: str, freq: str, seasons: Seasons, reference: t
             p = p.where(keep)
     if seasons.drop_incomplete:
         names = seasons.of_months(p.parts["month"])
-        keys = [f"{y} {s}" for y, s in zip(p.parts["year"], names)]
-        counts = {k: keys.count(k) for k in set(keys)}
-        keep = np.array([counts[k] == seasons.size(s) for k, s in zip(keys, names)], bool)
+        kinds, kind = np.unique(names.astype(str), return_inverse=True)
+        _, group, counts = np.unique(p.parts["year"] * len(kinds) + kind, return_inverse=True, return_counts=True)
+        sizes = np.array([seasons.size(s) if s else -1 for s in kinds.tolist()] or [0])
+        keep = counts[group] == sizes[kind]
         if not keep.any():
             raise RuntimeError("No time points are left with drop_incomplete_seasons; the data have no complete season.")
         p = p.where(keep)
@@ -140,14 +141,9 @@ def prepare(points: Points, mode: str, freq: str, seasons: Seasons, reference: t
 
 
 def reference_us(text: str, calendar: str) -> tuple[int, int]:
-    """First and next-after-last microsecond of a date, which covers its whole day (or year or month)."""
+    """First and next-after-last microsecond of a date, which covers its whole day."""
     y, m, d, *_ = C.parse_date(text)
-    kind = text.strip().count("-")
     start = int(C.ordinal(calendar, y, m, d))
-    if kind == 0:
-        return start, int(C.ordinal(calendar, y + 1))
-    if kind == 1:
-        return start, int(C.ordinal(calendar, y + m // 12, m % 12 + 1))
     return start, start + C.DAY_US
 
 
@@ -190,7 +186,7 @@ def reduce_groups(ds: GridDataset, var: str, p: Points, group: np.ndarray, label
     if weights is not None:
         columns["_w"] = weights
     small = axis_frame(ds.spark, "_k", columns).drop("_k")
-    rows = ds.fact_of(var).join(F.broadcast(small), t)
+    rows = joined(ds.fact_of(var), small, t, len(p.index))
     x = F.col(var)
     mean = weighted_mean(x, F.col("_w")) if weights is not None else F.avg(x)
     if skipna is False:
@@ -281,7 +277,9 @@ def departures(ds: GridDataset, var: str, freq: str, weighted: bool = True, keep
     Observations are group averages where the data's frequency is another.
     Shifts and drops apply once to the data and once more in each average, so
     that a December moves two years on under DJF; december_shift="once" leaves
-    the first pass out. Groups that the climatology lacks are null.
+    the first pass out. Groups that the climatology lacks are null. The
+    climatology, of one value per group and cell, is broadcast while it is
+    short, so that the observations are not shuffled again.
     """
     axis, least = check(ds, var, "departures", freq, reference_period, min_weight)
     seasons = Seasons.of(season_config)
@@ -299,7 +297,7 @@ def departures(ds: GridDataset, var: str, freq: str, weighted: bool = True, keep
     else:
         labels, parts, positions = axis.take(p.index), p.parts, np.arange(len(p.index))
         moved = axis_frame(ds.spark, "_new", {t: p.index.astype(np.int32)})
-        fact = ds.fact_of(var).join(F.broadcast(moved), t).drop(t).withColumnRenamed("_new", t)
+        fact = joined(ds.fact_of(var), moved, t, len(p.index)).drop(t).withColumnRenamed("_new", t)
     climate = grouped(ds, var, copy(), "climatology", freq, weighted, keep_weights, seasons, reference_period, skipna, least)
     group_of = {(m, d): k for k, (m, d) in enumerate(zip(climate.axes[axis.name].parts()["month"].tolist(), climate.axes[axis.name].parts()["day"].tolist()))}
     if freq == "season" and infer_freq(axis.take(p.index)) == freq:
@@ -311,7 +309,8 @@ def departures(ds: GridDataset, var: str, freq: str, weighted: bool = True, keep
     others = [ds.axes[d].idx for d in ds.dims_of(var) if d != axis.name]
     link = axis_frame(ds.spark, "_k", {t: positions.astype(np.int32), "_c": group}).drop("_k")
     base = climate.fact.select(F.col(t).alias("_c"), *others, F.col(var).alias("_base"))
-    out = fact.join(F.broadcast(link), t).join(base, ["_c", *others], "left").select(t, *others, (F.col(var) - F.col("_base")).alias(var))
+    cells = len(climate.axes[axis.name]) * int(np.prod([len(ds.axes[d]) for d in ds.dims_of(var) if d != axis.name]))
+    out = joined(joined(fact, link, t, len(positions)), base, ["_c", *others], cells, "left").select(t, *others, (F.col(var) - F.col("_base")).alias(var))
     attrs = climate.attrs["averaging"][var] | {"operation": "temporal_avg", "mode": "departures", "min_weight": "0.0"}
     dims = (axis.name, *(d for d in ds.dims_of(var) if d != axis.name))
     axes = {**ds.axes, axis.name: labels}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections import deque
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,18 @@ from ..operators.bounds import time_bounds
 from .model import Axis, GridDataset, axis_frame, axis_from, micros
 
 NY, NX = 6, 8
+#: Cubes that stay persisted.
+KEPT = 4
+_kept: deque[DataFrame] = deque()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """An aggregated cube, persisted so that its table is scanned once for the time axis and the values; the oldest ones are let go."""
+    while len(_kept) >= KEPT:
+        with contextlib.suppress(Exception):  # its session may have ended
+            _kept.popleft().unpersist()
+    _kept.append(df.persist())
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +46,8 @@ def cube(df: DataFrame, t: str, key: str, value: str, unit: str, freq: str, name
     at = {"month": lambda c: F.trunc(c.cast("date"), "MM").cast("timestamp_ntz"), "day": lambda c: c.cast("date").cast("timestamp_ntz"), "hour": lambda c: F.expr(f"cast(cast({t} as timestamp_ntz) as date) + make_dt_interval(0, hour({t}))").cast("timestamp_ntz")}[unit](F.col(t))
     k = F.col(key)
     cells = df.select(at.alias("time"), (k % NY).cast("int").alias("lat_idx"), (F.floor(k / NY) % NX).cast("int").alias("lon_idx"), F.col(value).cast("double").alias(name))
-    cells = cells.groupBy("time", "lat_idx", "lon_idx").agg(F.avg(name).alias(name))
-    time = time_bounds(axis_from(df.select(at.alias("time")), "time", {"axis": "T"}), freq, 24 if unit == "hour" else 1 if unit == "day" else None)
-    from .model import axis_frame
-
+    cells = kept(cells.groupBy("time", "lat_idx", "lon_idx").agg(F.avg(name).alias(name)))
+    time = time_bounds(axis_from(cells, "time", {"axis": "T"}), freq, 24 if unit == "hour" else 1 if unit == "day" else None)
     small = axis_frame(df.sparkSession, "time_idx", {"_us": time.values})
     fact = cells.join(F.broadcast(small), micros("time") == F.col("_us")).select("time_idx", "lat_idx", "lon_idx", name)
     return GridDataset(fact, {"time": time, "lat": lat_axis(), "lon": lon_axis()}, {name: ("time", "lat", "lon")})

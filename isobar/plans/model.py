@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,17 @@ DEFAULT_ATTRS = {
 }
 
 
+#: Rows of a table that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+#: Rows from which on an axis's table goes to Spark by Arrow.
+ARROW_ROWS = 10_000
+
+
+def joined(rows: DataFrame, small: DataFrame, on, n: int, how: str = "inner") -> DataFrame:
+    """Rows with a table of n rows: broadcast while that is short."""
+    return rows.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
+
+
 @dataclass(frozen=True)
 class Axis:
     """One axis: name, values, bounds (lo, hi) and attributes. Time values are ordinals in microseconds, when decoded."""
@@ -103,18 +115,24 @@ def axis_frame(spark: SparkSession, idx: str, columns: dict[str, np.ndarray]) ->
         return "int" if v.dtype == np.int32 else "bigint" if v.dtype.kind in "iu" else "double" if v.dtype.kind == "f" else "boolean" if v.dtype.kind == "b" else "string"
 
     schema = ", ".join(f"`{k}` {ddl(v)}" for k, v in data.items())
+    if n >= ARROW_ROWS:
+        return spark.createDataFrame(pa.table({k: pa.array(np.asarray(v).tolist() if np.asarray(v).dtype.kind == "O" else np.asarray(v)) for k, v in data.items()}), schema)
     rows = list(zip(*(np.asarray(v).tolist() for v in data.values())))
     return spark.createDataFrame(rows, schema)
 
 
 @dataclass(frozen=True)
 class GridDataset:
-    """A fact DataFrame, its axes by name, the axes of each variable, and attributes."""
+    """A fact DataFrame, its axes by name, the axes of each variable, and attributes; more: facts of variables on other axes, by axes.
+
+    Attributes of variables are in attrs["variables"], by name.
+    """
 
     fact: DataFrame
     axes: dict[str, Axis]
     variables: dict[str, tuple[str, ...]]
     attrs: dict = field(default_factory=dict)
+    more: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:
@@ -123,6 +141,30 @@ class GridDataset:
     def with_(self, **changes) -> GridDataset:
         return replace(self, **changes)
 
+    def frame_of(self, var: str) -> DataFrame:
+        """The fact that has a variable."""
+        return self.more.get(self.dims_of(var), self.fact)
+
+    def frames(self) -> dict[tuple[str, ...], DataFrame]:
+        """All facts by axes."""
+        main = [dims for dims in self.variables.values() if dims not in self.more][:1]
+        return {**{dims: self.fact for dims in main}, **self.more}
+
+    def with_frame(self, fact: DataFrame, variables: dict[str, tuple[str, ...]]) -> GridDataset:
+        """This dataset with the variables, all on the same axes, of one more fact."""
+        (dims,) = set(variables.values())
+        if dims in self.frames():
+            old = self.frames()[dims]
+            fact = old.join(fact, [self.axes[d].idx for d in dims], "full")
+            if dims not in self.more:
+                return replace(self, fact=fact, variables={**self.variables, **variables})
+        return replace(self, more={**self.more, dims: fact}, variables={**self.variables, **variables})
+
+    def each_frame(self, change) -> GridDataset:
+        """This dataset with change(fact, dims) in place of every fact."""
+        found = {dims: change(df, dims) for dims, df in self.frames().items()}
+        return replace(self, fact=next((df for dims, df in found.items() if dims not in self.more), self.fact), more={dims: found[dims] for dims in self.more})
+
     def with_axis(self, axis: Axis, old: str | None = None) -> GridDataset:
         """This dataset with one axis replaced."""
         return replace(self, axes={axis.name if k == (old or axis.name) else k: axis if k == (old or axis.name) else a for k, a in self.axes.items()})
@@ -145,7 +187,7 @@ class GridDataset:
     def fact_of(self, var: str) -> DataFrame:
         """Index columns and the variable, NaN as null."""
         value = F.nanvl(F.col(var).cast("double"), F.lit(None).cast("double")).alias(var)
-        return self.fact.select(*(self.axes[d].idx for d in self.dims_of(var)), value)
+        return self.frame_of(var).select(*(self.axes[d].idx for d in self.dims_of(var)), value)
 
     def table(self, var: str) -> DataFrame:
         """The variable with the coordinates of its axes in place of indices."""
@@ -163,7 +205,7 @@ class GridDataset:
             a = self.axes[d]
             own = self.spark.range(len(a)).select(F.col("id").cast("int").alias(a.idx))
             cells = own if cells is None else cells.crossJoin(F.broadcast(own))
-        return self.with_(fact=cells.join(self.fact_of(var), [self.axes[d].idx for d in self.dims_of(var)], "left"), variables={var: self.dims_of(var)})
+        return self.with_(fact=cells.join(self.fact_of(var), [self.axes[d].idx for d in self.dims_of(var)], "left"), variables={var: self.dims_of(var)}, more={})
 
 
 def from_table(df: DataFrame, axes: list[Axis], variables: list[str], attrs: dict | None = None) -> GridDataset:
