@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import logging
+import operator
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.axes import center_times as centered
 from ..operators.axes import swap_lon_axis
 from ..operators.bounds import add_missing_bounds
-from ..plans.model import Axis, GridDataset, axis_frame
+from ..plans.model import Axis, GridDataset, axis_frame, joined
 from .netcdf3 import read_netcdf3
 from .timecodec import decode_time
 
@@ -23,11 +25,14 @@ COMPAT = ("no_conflicts", "equals", "identical", "broadcast_equals", "override")
 
 
 def write_dataset(ds: GridDataset, path: str, mode: str = "error") -> None:
-    """Writes the fact as Parquet to path/fact and the axes as JSON lines to path/axes, both by Spark."""
-    ds.fact.write.mode(mode).parquet(f"{path}/fact")
+    """Writes the facts as Parquet to path/fact, path/fact1 ..., and the axes as JSON lines to path/axes, all by Spark."""
     whole = lambda x: None if x is None else np.asarray(x).tolist()
     lines = [json.dumps({"name": a.name, "values": whole(a.values), "lo": whole(a.lo), "hi": whole(a.hi), "attrs": a.attrs, "calendar": a.calendar}) for a in ds.axes.values()]
-    lines.append(json.dumps({"variables": {k: list(v) for k, v in ds.variables.items()}, "attrs": {k: v for k, v in ds.attrs.items() if isinstance(v, (str, int, float))}}))
+    facts = {"fact" + str(k or ""): dims for k, dims in enumerate(sorted(ds.frames(), key=lambda dims: dims in ds.more))}
+    plain = lambda x: isinstance(x, (str, int, float, bool)) or isinstance(x, dict) and all(map(plain, x.values())) or isinstance(x, (list, tuple)) and all(map(plain, x))
+    lines.append(json.dumps({"variables": {k: list(v) for k, v in ds.variables.items()}, "facts": {k: list(v) for k, v in facts.items()}, "attrs": {k: v for k, v in ds.attrs.items() if plain(v)}}))
+    for name, dims in facts.items():
+        ds.frames()[dims].write.mode(mode).parquet(f"{path}/{name}")
     ds.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode(mode).text(f"{path}/axes")
 
 
@@ -39,7 +44,8 @@ def read_dataset(spark: SparkSession, path: str) -> GridDataset:
             axes[x["name"]] = Axis(**x)
         else:
             rest = x
-    return GridDataset(spark.read.parquet(f"{path}/fact"), axes, {k: tuple(v) for k, v in rest["variables"].items()}, rest["attrs"])
+    more = {tuple(dims): spark.read.parquet(f"{path}/{name}") for name, dims in rest.get("facts", {}).items() if name != "fact"}
+    return GridDataset(spark.read.parquet(f"{path}/fact"), axes, {k: tuple(v) for k, v in rest["variables"].items()}, rest["attrs"], more)
 
 
 def read_any(spark: SparkSession, path: str) -> GridDataset:
@@ -81,7 +87,7 @@ def keep_single_var(ds: GridDataset, var: str) -> GridDataset:
     dims = ds.variables[var]
     if not dims:
         raise ValueError(f"{var!r} has no axes.")
-    return GridDataset(ds.fact.select(*(ds.axes[d].idx for d in dims), var), {d: ds.axes[d] for d in dims}, {var: dims}, ds.attrs)
+    return GridDataset(ds.frame_of(var).select(*(ds.axes[d].idx for d in dims), var), {d: ds.axes[d] for d in dims}, {var: dims}, ds.attrs)
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = ".nc") -> list[str]:
@@ -133,13 +139,13 @@ def joined_axis(axes: list[Axis], join: str) -> Axis:
 
 
 def combine(datasets: list[GridDataset], join: str = "outer", compat: str = "no_conflicts") -> GridDataset:
-    """Datasets of the same variables as one, on joined axes.
+    """Datasets as one, on joined axes; variables on the same axes are one fact.
 
-    Where the files' axes are apart, as with one file per year, rows are put
-    together without a shuffle; else cells that several files have are
-    combined by compat: no_conflicts takes the value there is and fails if two
-    differ, equals (and its kin) also minds missing ones, override takes the
-    first file's.
+    Rows at positions that one file alone has, as with one file per year, are
+    put together without a shuffle; cells that several files have are combined
+    by compat: no_conflicts takes the value there is and fails if two differ,
+    equals (and its kin) also minds missing ones, identical the variables'
+    attributes too, override takes the first file's.
     """
     if join not in JOINS:
         raise ValueError(f"join is one of {JOINS}.")
@@ -151,26 +157,64 @@ def combine(datasets: list[GridDataset], join: str = "outer", compat: str = "no_
     calendars = {a.calendar for ds in datasets for a in ds.axes.values() if a.decoded}
     if len(calendars) > 1:
         raise ValueError(f"The files have several calendars: {sorted(calendars)}")
+    if compat == "identical":
+        for v in {v for ds in datasets for v in ds.variables}:
+            if any(ds.attrs.get("variables", {}).get(v) != datasets[0].attrs.get("variables", {}).get(v) for ds in datasets if v in ds.variables):
+                raise ValueError(f"The files have several attributes of {v!r}.")
     axes = {n: joined_axis([ds.axes[n] for ds in datasets if n in ds.axes], join) for n in names}
     variables = {k: v for ds in reversed(datasets) for k, v in ds.variables.items()}
-    spark, parts = datasets[0].spark, []
+    groups = list(dict.fromkeys(variables.values()))
+    if any(ds.variables[v] != variables[v] for ds in datasets for v in ds.variables):
+        raise ValueError("A variable has other axes in another file.")
+    facts = {dims: combined([ds for ds in datasets if dims in ds.frames()], dims, [v for v in variables if variables[v] == dims], axes, join, compat) for dims in groups}
+    main = datasets[0].variables[next(iter(datasets[0].variables))] if datasets[0].variables else groups[0]
+    return GridDataset(facts[main], axes, variables, datasets[0].attrs, {d: f for d, f in facts.items() if d != main})
+
+
+def places(own: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of own's values are in of, which may run either way, and where there."""
+    order = np.argsort(of, kind="stable")
+    there = np.flatnonzero(np.isin(own, of))
+    return there, order[np.searchsorted(of[order], own[there])]
+
+
+def combined(datasets: list[GridDataset], dims: tuple[str, ...], variables: list[str], axes: dict[str, Axis], join: str, compat: str) -> DataFrame:
+    """One fact of those that several datasets have on dims."""
+    spark, parts, taken = datasets[0].spark, [], {n: [] for n in dims}
     for k, ds in enumerate(datasets):
-        fact = ds.fact
-        for n, a in ds.axes.items():
+        fact = ds.frames()[dims]
+        for n in dims:
+            a = ds.axes[n]
             if join == "override" or np.array_equal(a.values, axes[n].values):
+                taken[n].append(np.arange(len(axes[n])))
                 continue
-            at = np.searchsorted(axes[n].values, a.values) if len(axes[n]) else np.zeros(len(a), int)
-            there = np.flatnonzero(np.isin(a.values, axes[n].values))
-            small = axis_frame(spark, "_k", {a.idx: there.astype(np.int32), "_new": at[there].astype(np.int32)}).drop("_k")
-            fact = fact.join(F.broadcast(small), a.idx).drop(a.idx).withColumnRenamed("_new", a.idx)
+            there, at = places(a.values, axes[n].values)
+            taken[n].append(at)
+            small = axis_frame(spark, "_k", {a.idx: there.astype(np.int32), "_new": at.astype(np.int32)}).drop("_k")
+            fact = joined(fact, small, a.idx, len(there)).drop(a.idx).withColumnRenamed("_new", a.idx)
         parts.append(fact.withColumn("_file", F.lit(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    keys = [a.idx for a in axes.values()]
-    apart = any(sum(len(np.unique(ds.axes[n].values)) for ds in datasets if n in ds.axes) == len(np.unique(np.concatenate([ds.axes[n].values for ds in datasets if n in ds.axes]))) for n in names)
-    if len(datasets) == 1 or (apart and join in ("outer", "inner")):
-        return GridDataset(out.drop("_file").select(*keys, *variables), axes, variables, datasets[0].attrs)
+    keys = [axes[n].idx for n in dims]
+    # the axis of which the files share the fewest positions; cells elsewhere along it are one file's
+    counts = {n: np.bincount(np.concatenate(taken[n]), minlength=len(axes[n])) for n in dims}
+    along = min(dims, key=lambda n: (counts[n] > 1).sum())
+    common = counts[along] > 1
+    ranges = np.flatnonzero(np.diff(np.r_[False, common, False])).reshape(-1, 2).tolist()
+    alone, several = [], []
+    for k, part in enumerate(parts):
+        if not common[taken[along][k]].any():
+            alone.append(part)
+        elif common[taken[along][k]].all():
+            several.append(part)
+        elif len(ranges) <= 64:
+            shared = functools.reduce(operator.or_, [F.col(axes[along].idx).between(a, b - 1) for a, b in ranges])
+            alone.append(part.filter(~shared))
+            several.append(part.filter(shared))
+        else:
+            table = axis_frame(spark, axes[along].idx, {"_s": common})
+            marked = joined(part, table, axes[along].idx, len(common))
+            alone.append(marked.filter("not _s").drop("_s"))
+            several.append(marked.filter("_s").drop("_s"))
+    every = lambda some: functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), some)
     columns = []
     for v in variables:
         x = F.nanvl(F.col(v).cast("double"), F.lit(None).cast("double"))
@@ -181,4 +225,13 @@ def combine(datasets: list[GridDataset], join: str = "outer", compat: str = "no_
         if compat != "no_conflicts":
             clash = clash | ((F.count(x) > 0) & (F.count(x) < F.count("*")))
         columns.append(F.when(F.coalesce(clash, F.lit(False)), F.raise_error(F.lit(f"conflicting values of {v}")).cast("double")).otherwise(F.max(x)).alias(v))
-    return GridDataset(out.groupBy(*keys).agg(*columns), axes, variables, datasets[0].attrs)
+    out = []
+    if several:
+        own = every(several)
+        own = functools.reduce(lambda df, v: df if v in df.columns else df.withColumn(v, F.lit(None).cast("double")), variables, own)
+        out.append(own.groupBy(*keys).agg(*columns))
+    if alone:
+        own = every(alone)
+        own = functools.reduce(lambda df, v: df if v in df.columns else df.withColumn(v, F.lit(None).cast("double")), variables, own)
+        out.append(own.select(*keys, *variables))
+    return every(out)
