@@ -12,6 +12,8 @@ from ..operators import compare, grids, masks, regrid
 from ..operators import spatial as S
 from ..operators import temporal as T
 from ..sources import dataset as D
+from ..sources.netcdf3 import write_netcdf3
+from ..sources.shared import claim
 from . import cubes
 from .model import Axis, GridDataset, axis_frame
 from .temporal_queries import GAPS, NUDGE, ORDERS, TIMES, gaps, rounded, shown
@@ -162,7 +164,21 @@ def grid_rows(make):
 
 UNIFORM = "select 'Y' as axis, cast(i as integer) as i, -90.0::double + 4 * i as value, greatest(-90.0::double, -92 + 4 * i) as lo, least(90.0::double, -88 + 4 * i) as hi from range(46) r(i) union all select 'X', cast(i as integer), 5.0::double * i, 5.0::double * i - 2.5, 5.0::double * i + 2.5 from range(73) r(i)"
 add("grid_uniform", grid_rows(lambda: grids.create_uniform_grid(-90, 90, 4, 0, 360, 5)), UNIFORM)
-add("grid_gaussian", grid_rows(lambda: grids.create_gaussian_grid(32)))
+
+
+def gaussian_sql(n: int) -> str:
+    """Zeros of the Legendre polynomial as a sum of cosines, by Newton's method, and edges by running sums of the weights."""
+    f, d = f"sum(c * cos(({n} - 2 * k) * th))", f"sum(({n} - 2 * k) * c * sin(({n} - 2 * k) * th))"
+    steps = ", ".join(f"t{j + 1} as materialized (select i, th + {f} / {d} as th from t{j}, c group by i, th)" for j in range(6))
+    return f"""with a as (select k, exp(sum(case when k = 0 then 0 else ln((2.0::double * k - 1) / (2 * k)) end) over (order by k)) as a from range({n + 1}) r(k)),
+      c as materialized (select x.k, x.a * y.a as c from a x join a y on y.k = {n} - x.k), t0 as (select i, pi() * (i + 0.75) / ({n} + 0.5) as th from range({n}) r(i)), {steps},
+      w as (select i, 90 - degrees(th) as value, 2 / pow({d}, 2) as w from t6, c group by i, th),
+      e as (select i, value, 1 - sum(w) over (order by i) as s, w from w)
+      select 'Y' as axis, cast(i as integer) as i, round(value, 6) as value, round(degrees(asin(greatest(-1, least(1, s + w)))), 6) + 0.0 as lo, round(degrees(asin(greatest(-1, least(1, s)))), 6) + 0.0 as hi from e
+      union all select 'X', cast(i as integer), i * 180.0::double / {n}, (i - 0.5) * 180.0::double / {n}, (i + 0.5) * 180.0::double / {n} from range({2 * n + 1}) r(i)"""
+
+
+add("grid_gaussian", grid_rows(lambda: grids.create_gaussian_grid(32)), gaussian_sql(32))
 add("grid_global_mean", grid_rows(lambda: grids.global_mean_grid(grids.create_uniform_grid(-90, 90, 4, 0, 360, 5))), "select 'Y' as axis, 0 as i, 0.0::double as value, -90.0::double as lo, 90.0::double as hi union all select 'X', 0, 180.0::double, -2.5::double, 362.5::double")
 add("grid_zonal", grid_rows(lambda: grids.zonal_grid(grids.create_uniform_grid(-90, 90, 4, 0, 360, 5))), f"select * from ({UNIFORM}) where axis = 'Y' union all select 'X', 0, 180.0::double, -2.5::double, 362.5::double")
 
@@ -248,9 +264,50 @@ add(
     lambda s, d: regrid.method_weights(cubes.orders_cube(s, d), "v", POINTS, "bilinear").withColumn("weight", F.round("weight", 9)),
     LINEAR.split(",\n  need as")[0] + " select fy.i as y_out, fx.j as x_out, fy.y as y_in, fx.x as x_in, round(fy.w * fx.w, 9) as weight from fy, fx",
 )
-add("horizontal_bilinear_periodic", horizontal(POINTS, method="bilinear", periodic=True))
-add("horizontal_patch", horizontal(POINTS, method="patch"))
-add("horizontal_idw", horizontal(POINTS, method="bilinear", extrap_method="inverse_dist", extrap_num_src_pnts=4))
+ROUND_X = LINEAR.replace(LINEAR[LINEAR.index("lx as ("):LINEAR.index(",\n  fy as")], "lx as (select i as j, unnest([(k + 8) % 8, (k + 9) % 8]) as x, unnest([1 - f, f]) as w from (select i, k, (c - 22.5) / 45 - k as f from (select i, c, cast(floor((c - 22.5) / 45) as integer) as k from tlon)))")
+add("horizontal_bilinear_periodic", horizontal(POINTS, method="bilinear", periodic=True), ROUND_X)
+
+
+def patch_sql(name: str, index: str, table: str, u: str, n: int) -> str:
+    """Weights of patches along an axis of n even points, u the target's place among them: quadratics about either neighbour, blended."""
+    parts = " union all ".join(
+        f"select i, m + {d} as {index}, share * ({w}) as w from (select i, greatest(1, least({n - 2}, node)) as m, share, u - greatest(1, least({n - 2}, node)) as s from (select i, u, unnest([k, k + 1]) as node, unnest([1 - (u - k), u - k]) as share from (select i, {u} as u, greatest(0, least({n - 2}, cast(floor({u}) as integer))) as k from {table}) where u >= 0 and u <= {n - 1}))"
+        for d, w in ((-1, "s * (s - 1) / 2"), (0, "1 - s * s"), (1, "s * (s + 1) / 2"))
+    )
+    return f"{name} as (select i, {index}, sum(w) as w from ({parts}) group by i, {index} having abs(sum(w)) > 1e-12)"
+
+
+add(
+    "horizontal_patch",
+    horizontal(POINTS, method="patch"),
+    f"""with {ORDERS}, {POINT_TABLES}, {patch_sql("py", "y", "tlat", "(c + 75) / 30", 6)}, {patch_sql("px", "x", "tlon", "(c - 22.5) / 45", 8)},
+      need as (select a.i, b.i as j, count(*) as n from py a, px b group by a.i, b.i),
+      r as (select t, py.i, px.i as j, sum(py.w * px.w * v) as v, count(v) as c from cube join py on cube.y = py.y join px on cube.x = px.x group by t, py.i, px.i)
+      select t, r.i as y, r.j as x, round(r.v + {NUDGE}, 6) as v from r join need using (i, j) where c = n""",
+)
+add(
+    "horizontal_idw",
+    horizontal(POINTS, method="bilinear", extrap_method="inverse_dist", extrap_num_src_pnts=4),
+    f"""select * from ({LINEAR}) union all select * from (with {ORDERS}, {POINT_TABLES},
+      n as (select i, j, y, x, 1 / pow(greatest(raw, 1e-12), 2) as w from (select a.i, d.i as j, b.y, e.x, {ANGLE} as raw from tlat a, tlon d, slat b, slon e where a.c not between -75 and 75 or d.c not between 22.5 and 337.5)
+        qualify row_number() over (partition by i, j order by round(raw, 12), y, x) <= 4)
+      select t, n.i as y, n.j as x, round(sum(w * v) / sum(w) + {NUDGE}, 6) as v from cube join n on cube.y = n.y and cube.x = n.x group by t, n.i, n.j having count(v) = 4)""",
+)
+
+
+def curvilinear(spark, sf_dir):
+    """Customers as scattered points, at each target the balance of the nearest."""
+    k = F.col("c_custkey")
+    points = cubes.table(spark, sf_dir, "customer").select(((k * 7919) % 17989 / 100 - 90).alias("lat"), ((k * 104729) % 35983 / 100).alias("lon"), F.col("c_acctbal").cast("double").alias("v"))
+    return regrid.curvilinear_nearest(points, spark, POINTS, "v").select(F.col("y_idx").alias("y"), F.col("x_idx").alias("x"), "v")
+
+
+add(
+    "curvilinear_nearest",
+    curvilinear,
+    f"""with {cells_sql("tlat", POINTS.y)}, {cells_sql("tlon", POINTS.x)}, b as (select (c_custkey * 7919) % 17989 / 100 - 90 as lat, cast(c_acctbal as double) as v, (c_custkey * 104729) % 35983 / 100 as lon from customer)
+      select a.i as y, d.i as x, arg_min(b.v, {ANGLE.replace("e.lon", "b.lon")}) as v from tlat a, tlon d, b group by a.i, d.i""",
+)
 
 # --- vertical regridding -----------------------------------------------------------
 
@@ -280,6 +337,29 @@ LAYER_ROWS = values("t", "k, hi, lo", [(k, 1030.0 - 60 * k, 970.0 - 60 * k) for
 add("vertical_conservative", vertical(LAYERS, "conservative"), f"with {PROFILE}, {LAYER_ROWS} select vec, t.k as z, round(sum(v * (least(t.hi, z + 7.5) - greatest(t.lo, z - 7.5)) / 15) + {NUDGE}, 6) as v from profile join t on t.lo < z + 7.5 and t.hi > z - 7.5 group by vec, t.k")
 add("vertical_target_data", vertical(THETA, "linear", target_data="theta"), segments_sql("theta", list(THETA.z.values)))
 
+NEAR_ENDS = [1100.0 - 60 * k for k in range(20)]
+add("vertical_unmasked", vertical(grids.Grid(z=Axis("lev", NEAR_ENDS, attrs={"axis": "Z"})), "linear", mask_edges=False), segments_sql("z", [min(1000.0, max(55.0, t)) for t in NEAR_ENDS]))
+THETA_LAYERS = grids.Grid(z=Axis("lev", [308.0 + 16 * k for k in range(8)], [300.0 + 16 * k for k in range(8)], [316.0 + 16 * k for k in range(8)], {"axis": "Z"}))
+add(
+    "vertical_conservative_target_data",
+    vertical(THETA_LAYERS, "conservative", target_data="theta"),
+    f"with {PROFILE}, {values('t', 'k, lo, hi', [(k, 300.0 + 16 * k, 316.0 + 16 * k) for k in range(8)])} select vec, t.k as z, round(sum(v * (least(t.hi, theta + 1) - greatest(t.lo, theta - 1)) / 2) + {NUDGE}, 6) as v from profile join t on t.lo < theta + 1 and t.hi > theta - 1 group by vec, t.k",
+)
+HYBRID = [1020.0 - 19 * k for k in range(30)]
+
+
+def by_formula(spark, sf_dir):
+    """Levels ap + b ps by the axis's formula terms: ap and b along the axis, ps for each column."""
+    ds = cubes.profiles(spark, sf_dir)
+    p = np.arange(64)
+    attrs = {**ds.axes["lev"].attrs, "standard_name": "atmosphere_hybrid_sigma_pressure_coordinate", "formula_terms": "ap: ap b: b ps: ps"}
+    ds = ds.with_axis(ds.axes["lev"].with_(attrs=attrs)).with_frame(axis_frame(spark, "lev_idx", {"ap": 5.0 * p, "b": 1 - p / 64}), {"ap": ("lev",), "b": ("lev",)})
+    ds = ds.with_frame(cubes.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("vec_idx"), (1000.0 + F.col("vec_id") % 50).alias("ps")), {"ps": ("vec",)})
+    return shown(regrid.vertical(ds, "v", grids.Grid(z=Axis("lev", HYBRID, attrs={"axis": "Z"})), "linear", target_data="infer")).filter("v is not null")
+
+
+add("vertical_formula_terms", by_formula, segments_sql("(5.0::double * p + (1 - p / 64.0::double) * (1000.0::double + vec % 50))", HYBRID))
+
 # --- masks -----------------------------------------------------------------------------
 
 
@@ -306,7 +386,44 @@ def pcmdi(spark, sf_dir):
     return masks.generate_mask(ds, "v", "pcmdi", source=source, source_var="land").select(F.col("lat_idx").alias("y"), F.col("lon_idx").alias("x"), "mask")
 
 
-add("pcmdi_mask", pcmdi)
+def half_sql(name: str, index: str, table: str, c: str, clip: bool, measure: str, shifts: str) -> str:
+    """The mean over the cells of every second point: shares of the axis's own cells in them."""
+    lo, hi = f"{c} - coalesce({c} - lag({c}) over o, lead({c}) over o - {c}) / 2", f"{c} + coalesce(lead({c}) over o - {c}, {c} - lag({c}) over o) / 2"
+    if clip:
+        lo, hi = f"greatest(-90, {lo})", f"least(90, {hi})"
+    w = f"{measure.format('least(h.hi, s.hi + k)')} - {measure.format('greatest(h.lo, s.lo + k)')}"
+    return f"""{name}_cells as (select {index} as i, {lo} as lo, {hi} as hi from {table} window o as (partition by {index} % 2 order by {index})),
+      {name} as materialized (select i, {index}, sum(w) / sum(sum(w)) over (partition by i) as w from (select h.i, s.{index}, {w} as w from {name}_cells h, {table} s, (values {shifts}) r(k) where h.lo < s.hi + k and h.hi > s.lo + k) group by i, {index})"""
+
+
+def pcmdi_sql(rounds: int = 26) -> str:
+    """Rounds of turning cells, each from the last one's mask."""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""g{k} as materialized (select f.y, f.x, f.f, f.first, m.m, f.f - cast(cast(a.v as float) as double) as gap from frac f join m{k} m using (y, x)
+          join (select hy.i as y, hx.i as x, sum(hy.w * hx.w * m) as v from m{k} join hy using (y) join hx using (x) group by hy.i, hx.i) a using (y, x)),
+          c{k} as materialized (select *, gap > 0.2 and f > 0.3 as rise, gap < -0.2 and f < 0.7 as fall from g{k}),
+          n{k} as materialized (select b.y, b.x, max(case when c.rise and c.first = 1 then 1 else 0 end) as land, max(case when c.fall and c.first = 0 then 1 else 0 end) as sea from beside b join c{k} c on c.y = b.ny and c.x = b.nx group by b.y, b.x),
+          m{k + 1} as materialized (select c.y, c.x, case when c.y between 1 and 4 and fall and f < 1 - sea then 0 when c.y between 1 and 4 and rise and f > land then 1 else m end as m from c{k} c join n{k} using (y, x))""")
+    return f"""with {ORDERS}, {LAT}, {LON}, {half_sql("hy", "y", "slat", "lat", True, SIN, "(0)")}, {half_sql("hx", "x", "slon", "lon", False, "({})", "(-360), (0), (360)")},
+      frac as materialized (select y, x, f, case when f > 0.5 then 1 else 0 end as first from (select y, x, (count(*) % 10) / 9.0::double as f from cube group by y, x)),
+      beside as materialized (select a.y, a.x, b.y as ny, b.x as nx from frac a join frac b on abs(a.y - b.y) <= 1 and (b.x - a.x + 9) % 8 <= 2 and (a.y <> b.y or a.x <> b.x)),
+      m0 as materialized (select y, x, first as m from frac), {", ".join(steps)}
+      select y, x, cast(m as integer) as mask from m{rounds}"""
+
+
+add("pcmdi_mask", pcmdi, pcmdi_sql())
+
+
+def mask_in_one_call(spark, sf_dir):
+    """The variable at sea by polygons, and the mask as a variable beside it."""
+    out = masks.masked(cubes.orders_cube(spark, sf_dir), "v", "polygon", "sea", output_mask="land", polygons=RINGS)
+    both = shown(out, stamp=True).withColumn("name", F.lit("v")).unionByName(shown(out, var="land").withColumn("name", F.lit("land")).withColumn("t", F.lit(None).cast("timestamp_ntz")))
+    return both
+
+
+MASK_SQL = SQL["polygon_mask"]
+add("mask_generate_and_apply", mask_in_one_call, f"with {ORDERS}, land as ({MASK_SQL}) select t, y, x, case when mask <= 0.2 then round(v + {NUDGE}, 6) end as v, 'v' as name from cube join land using (y, x) union all select null, y, x, round(cast(mask as double) + {NUDGE}, 6), 'land' from land")
 
 # --- datasets -----------------------------------------------------------------------------
 
@@ -328,6 +445,69 @@ def two_files(join: str):
     return run
 
 
+def two_files_turned(join: str):
+    """Two files of which the first has all latitudes from north to south, the second three of them the other way."""
+
+    def run(spark, sf_dir):
+        ds = cubes.orders_cube(spark, sf_dir)
+        down = axis_frame(spark, "lat_idx", {"_new": np.arange(5, -1, -1).astype(np.int32)}).withColumn("_new", F.col("_new").cast("int"))
+        one = ds.with_(fact=ds.fact.join(F.broadcast(down), "lat_idx").drop("lat_idx").withColumnRenamed("_new", "lat_idx").select(ds.fact.columns)).with_axis(ds.axes["lat"].take(slice(None, None, -1)))
+        two = ds.with_(fact=ds.fact.filter("lat_idx < 3")).with_axis(ds.axes["lat"].take(slice(0, 3)))
+        out = D.combine([one, two], join)
+        lat = axis_frame(spark, "lat_idx", {"lat": out.axes["lat"].values})
+        return shown(out, stamp=True).join(F.broadcast(lat.withColumnRenamed("lat_idx", "y")), "y")
+
+    return run
+
+
+add("mfdataset_left", two_files_turned("left"), f"with {ORDERS} select t, 5 - y as y, x, -75.0::double + 30 * y as lat, round(v + {NUDGE}, 6) as v from cube")
+add("mfdataset_right", two_files_turned("right"), f"with {ORDERS} select t, y, x, -75.0::double + 30 * y as lat, round(v + {NUDGE}, 6) as v from cube where y < 3")
+
+
+def overridden(spark, sf_dir):
+    ds = cubes.orders_cube(spark, sf_dir)
+    other = ds.with_(fact=ds.fact.withColumn("v", F.col("v") * 2))
+    return shown(D.combine([between(ds, "1995-01-01", "1998-01-01"), other], "outer", "override"), stamp=True)
+
+
+add("mfdataset_override", overridden, f"with {ORDERS} select t, y, x, round(case when t < timestamp '1998-01-01' then v else 2 * v end + {NUDGE}, 6) as v from cube")
+
+
+def with_mean(spark, sf_dir) -> GridDataset:
+    """The cube and, on other axes, each cell's mean over its months."""
+    ds = cubes.orders_cube(spark, sf_dir)
+    return ds.with_frame(ds.fact.groupBy("lat_idx", "lon_idx").agg(F.avg("v").alias("mean")), {"mean": ("lat", "lon")})
+
+
+def both_facts(ds: GridDataset) -> DataFrame:
+    one = shown(ds, stamp=True).withColumn("name", F.lit("v"))
+    return one.unionByName(shown(ds, var="mean").withColumn("name", F.lit("mean")).withColumn("t", F.lit(None).cast("timestamp_ntz")))
+
+
+def open_multi(spark, sf_dir):
+    path = claim(spark, "grid")
+    D.write_dataset(with_mean(spark, sf_dir), path)
+    return both_facts(D.open_dataset(spark, path, add_bounds=None))
+
+
+def open_turned(spark, sf_dir):
+    """Written, read again as one variable, and turned to longitudes from -180 to 180."""
+    path = claim(spark, "grid")
+    D.write_dataset(with_mean(spark, sf_dir), path)
+    return shown(D.open_dataset(spark, path, "mean", add_bounds=("X", "Y"), lon_orient=(-180, 180)), var="mean")
+
+
+def netcdf_round_trip(spark, sf_dir):
+    """Written as a folder of netCDF files of 12 months each, and read as one dataset."""
+    folder = claim(spark, "netcdf")
+    write_netcdf3(cubes.orders_cube(spark, sf_dir), folder, 12).count()
+    return shown(D.open_mfdataset(spark, folder, "v", add_bounds=None, preprocess=lambda ds: ds), stamp=True).filter("v is not null")
+
+
+MEAN_SQL = "select null as t, y, x, round(avg(v) + {}, 6) as v, 'mean' as name from cube group by y, x".format(NUDGE)
+add("open_dataset_multi", open_multi, f"with {ORDERS} select t, y, x, round(v + {NUDGE}, 6) as v, 'v' as name from cube union all {MEAN_SQL}")
+add("open_dataset_single", open_turned, f"with {ORDERS} select y, (x + 4) % 8 as x, v from ({MEAN_SQL})")
+add("netcdf_round_trip", netcdf_round_trip, f"with {ORDERS} select t, y, x, round(v + {NUDGE}, 6) as v from cube")
 add("mfdataset_outer", two_files("outer"), f"with {ORDERS} select t, y, x, round(v + {NUDGE}, 6) as v from cube")
 add("mfdataset_inner", two_files("inner"), f"with {ORDERS} select t, y, x, round(v + {NUDGE}, 6) as v from cube where t >= timestamp '1998-01-01' and t < timestamp '1998-07-01'")
 
