@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
 import re
 import sys
 import threading
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import claim, discard
+
 #: Bytes of a batch that a worker turns into Python objects at a time.
 PIECE_BYTES = 2 << 20
 #: Bytes that stay in a worker's Store, entries met once that it may hold besides, and slots that tell which were met before.
@@ -28,18 +28,6 @@ TRIMMED = 16 << 20
 STRETCH = 1 << 20
 
 _open = threading.local()
-_left: dict[str, Callable[[], None]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, local mode gets a folder of its own and a cluster an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is unset; on a cluster it has to name a folder that the driver and all executors share")
-        found = "file:///tmp/checkpoints/isobar"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -49,8 +37,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     driver.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _left[path] = deleter(spark, path)
+    path = claim(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -59,20 +46,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def deleter(spark: SparkSession, path: str) -> Callable[[], None]:
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-
-    def delete() -> None:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
-    return delete
-
-
 def forget(df: DataFrame) -> None:
     """Deletes the table behind a stored() frame that nothing reads any more."""
-    if delete := _left.pop(df._stored_at, None):
-        delete()
+    discard(df._stored_at)
 
 
 @contextlib.contextmanager
@@ -93,14 +69,6 @@ def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
             outer += [k for k in kept if any(df is k for df in own)]
 
 
-@atexit.register
-def forget_all() -> None:
-    """Deletes the tables that are left; a driver's end calls it."""
-    for path in [*_left]:
-        with contextlib.suppress(Exception):  # the JVM may be gone
-            _left.pop(path)()
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that df doesn't have."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import claim
 from . import bpe
-from .common import arrow_schema, map_batches, passing, release, shared_dir, stored, texts
+from .common import arrow_schema, map_batches, passing, release, stored, texts
 
 MAGIC = b"ISOTOK01"
 HEADER = struct.Struct("<8sBxxxxxxxQQQqQ")  # magic, id width, documents, ids, documents with null id, least doc_id, bytes of the ends
@@ -264,5 +264,5 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, keep: bool = Fal
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """write() to a new folder in the shared one, then read()."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = claim(spark, "tokens")
     return read(spark, folder, write(docs, folder, tokenizer, end_id, id_col, text_col))
