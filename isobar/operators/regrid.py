@@ -459,7 +459,7 @@ def vertical(ds: GridDataset, var: str, grid: Grid, method: str = "linear", targ
     if grid_positions is not None and not set(grid_positions) <= {"center", "left", "right", "inner", "outer"}:
         raise ValueError("grid_positions has positions as keys: center, left, right, inner or outer.")
     if target_data is not None:
-        return note(by_segments(ds, var, z, tz, method, level_rows(ds, var, z, target_data), mask_edges), var, padding_of(periodic, extra_init_options))
+        return note(by_segments(ds, var, z, tz, method, target_data, mask_edges), var, padding_of(periodic, extra_init_options))
     if method == "conservative":
         to, source, w = overlaps(tz, z)
         lo, hi = ordered(z)
@@ -549,7 +549,7 @@ def formula_levels(ds: GridDataset, z: Axis) -> tuple[DataFrame, list[str]]:
     return rows.select(*on, level(columns).alias("level")), on
 
 
-def by_segments(ds: GridDataset, var: str, z: Axis, tz: Axis, method: str, levels: tuple[DataFrame, list[str]], mask_edges: bool = True) -> GridDataset:
+def by_segments(ds: GridDataset, var: str, z: Axis, tz: Axis, method: str, target_data: str | DataFrame, mask_edges: bool = True) -> GridDataset:
     """Regridding by levels of each column: between neighbours, or for conservative over cells half way to them.
 
     A window gives each level the next ones of its column; the targets within a
@@ -557,10 +557,13 @@ def by_segments(ds: GridDataset, var: str, z: Axis, tz: Axis, method: str, level
     """
     names = [ds.axes[d].idx for d in ds.dims_of(var)]
     others = [n for n in names if n != z.idx]
-    table, on = levels
-    small = int(np.prod([len(a) for a in ds.axes.values() if a.idx in on])) if set(on) < set(names) else BROADCAST_ROWS + 1
     scale = F.log if method == "log" else lambda c: c
-    rows = joined(ds.fact_of(var), table, on, small)
+    if isinstance(target_data, str) and ds.variables.get(target_data) == ds.dims_of(var):  # in the same rows
+        rows = ds.frame_of(var).select(*names, F.nanvl(F.col(var).cast("double"), F.lit(None).cast("double")).alias(var), F.col(target_data).cast("double").alias("level"))
+    else:
+        table, on = level_rows(ds, var, z, target_data)
+        small = int(np.prod([len(a) for a in ds.axes.values() if a.idx in on])) if set(on) < set(names) else BROADCAST_ROWS + 1
+        rows = joined(ds.fact_of(var), table, on, small)
     rows = rows.select(*names, F.col(var).alias("_v"), scale(F.nanvl("level", F.lit(None).cast("double"))).alias("_l"))
     w = W.partitionBy(*others).orderBy(z.idx)
     if method == "conservative":
