@@ -270,9 +270,7 @@ class Encoder:
         new = [c for c in chunks if c not in known]
         split = [self.pieces.of_chunk(c) for c in new]
         self.learn_words(set().union(*split))
-        for c, x in zip(new, split):
-            if c not in known:
-                known.add(c, b"".join([known[w] for w in x]))
+        known.add_all({c: b"".join([known[w] for w in x]) for c, x in zip(new, split) if c not in known})
 
     def learn_words(self, words: set[str]) -> None:
         """Encodes the pre-tokens that aren't known yet."""

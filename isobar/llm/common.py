@@ -23,7 +23,7 @@ PIECE_BYTES = 2 << 20
 #: Bytes that stay in a worker's Store, entries met once that it may hold besides, and slots that tell which were met before.
 STORE_BYTES, ONCE, SLOTS = 32 << 20, 60_000, 1 << 20
 #: Bytes that stay in a Store between tasks.
-TRIMMED = 16 << 20
+TRIMMED = 24 << 20
 #: Characters of a stretch of a long text.
 STRETCH = 1 << 20
 

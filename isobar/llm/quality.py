@@ -52,13 +52,22 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return rng.random((ROWS, DIM)).argsort(axis=1)[:, :NONZERO].astype(np.int64), rng.choice([-1.0, 1.0], (ROWS, NONZERO))
 
 
+#: Rows, as bytes, of the marks that a word may end in.
+ENDS = {x: struct.pack("<H", row_of(x + "1")) for x in ",.;:!?"}
+
+
 class Words:
     """Texts as rows of the vectors' table: letter runs in lower case, runs of other signs, and a mark for capitals."""
 
     def __init__(self):
-        self.known = Store()
+        self.known = Store(64 << 20)
 
     def of_chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():  # most chunks are a word in small letters, or one and a mark
+            word = chunk[:-1] if chunk[-1] in ENDS else chunk
+            if word.isalpha() and word.islower():
+                row = struct.pack("<H", zlib.crc32(word.encode()) % ROWS)
+                return row if word is chunk else row + ENDS[chunk[-1]]
         out = []
         for x in CORE(chunk):
             if x[0].isalpha():

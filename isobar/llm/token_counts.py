@@ -32,12 +32,18 @@ SPACE = re.compile(r"[^\S\x1c-\x1f]").match
 REST = re.compile(r"[\S\x1c-\x1f]*[^\S\x1c-\x1f]*").match
 
 
+class Encoder(bpe.Encoder):
+    """The encoder of bpe, with a larger store that lasts as long as the worker."""
+
+    kept = (64 << 20, 400_000)
+
+
 class Counter:
-    """Leaves of chunks, by the encoder of bpe; those of known chunks are kept as bytes."""
+    """Leaves of chunks, by the encoder of bpe; those of known chunks are kept as bytes, as long as the worker lasts."""
 
     def __init__(self, path: str):
-        self.encoder = bpe.encoder(path)
-        self.known = Store(40 << 20, 150_000)
+        self.encoder = Encoder(path)
+        self.known = Store(96 << 20)
 
     def learn(self, chunks: set[str]) -> None:
         """Works out the leaves of the chunks that aren't known yet at once.
@@ -53,13 +59,17 @@ class Counter:
         new = [c for c in chunks if c not in known]
         split = [self.read(c) for c in new]
         self.encoder.learn_words({w for words, _ in split for w in words})
+        pair, found = struct.Struct("<2i").pack, {}
         for c, (words, alike) in zip(new, split):
-            if len(words) > 1 and alike:
+            if len(words) == 1:
+                found[c] = pair(len(c), len(of[words[0]]) >> 2)
+            elif words and alike:
                 row = [x for w in words for x in (len(w), len(of[w]) >> 2)]
                 row[-2] += len(c) - sum(row[::2])
+                found[c] = struct.pack(f"<{len(row)}i", *row)
             else:
-                row = [len(c), sum([len(of[w]) >> 2 for w in words])]
-            known.add(c, struct.pack(f"<{len(row)}i", *row))
+                found[c] = pair(len(c), sum([len(of[w]) >> 2 for w in words]))
+        known.add_all(found)
 
     def read(self, chunk: str) -> tuple[list[str], bool]:
         """A chunk's pre-tokens, and whether they have its characters one by one."""
@@ -71,10 +81,6 @@ class Counter:
         alike = len(parts) == 1 and parts[0][0] != bpe.MARK and len(parts[0]) == len(CHUNK(chunk)[1]) == sum(map(len, words)) and unicodedata.is_normalized("NFC", chunk)
         return words, alike
 
-    def done(self) -> None:
-        self.known.trim()
-        self.encoder.known.trim()
-
 
 @functools.lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
@@ -219,7 +225,6 @@ def count_edited(docs: DataFrame, tokenizer: str, edits=edits_of, id_col: str =
                 "n_encoded": [t.encoded for t in trees], "edited": [t.text() for t in trees] if keep else None,
             }
 
-        step.done = count.done
         return step
 
     ddl = "doc_id long, n_tokens long, n_edited long, n_chunks long, n_encoded long" + ", edited string" * keep

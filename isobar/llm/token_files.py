@@ -132,9 +132,12 @@ class Shard:
 
 
 class LibraryEncoder(bpe.Encoder):
-    """Chunks and words are kept as in bpe.Encoder, in a larger store; the tokenizers library encodes them."""
+    """Chunks and words are kept as in bpe.Encoder, in a larger store that lasts as long as the worker; the tokenizers library encodes them.
 
-    kept = (96 << 20, 400_000)
+    Ids take `width` bytes: 2 where the vocabulary allows, else 4.
+    """
+
+    kept = (128 << 20, 600_000)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -142,10 +145,23 @@ class LibraryEncoder(bpe.Encoder):
         super().__init__(path)
         self.model = Tokenizer.from_file(path).model
         self.width = 2 if len(self.merges.text) <= 1 << 16 else 4
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        of = self.model.tokenize
-        return [[t.id for t in of(self.merges.spell(w))] for w in words]
+        self.pack = struct.Struct(f"<{'H' if self.width == 2 else 'I'}").pack
+        self.added = {mark: np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes() for mark, ids in self.added.items()}
+        self.forget()
+
+    def learn_words(self, words: set[str]) -> None:
+        """Encodes the pre-tokens that aren't known yet; a word that is one token by the merges needs no more."""
+        known, whole, sound, spell, of, pack = self.known, self.merges.final, self.merges.canonical, self.merges.spell, self.model.tokenize, self.pack
+        kind, found = "H" if self.width == 2 else "I", {}
+        for w in words:
+            if w not in known:
+                s = spell(w)
+                if (one := whole.get(s)) is not None and sound[one]:
+                    found[w] = pack(one)
+                else:
+                    ids = [t.id for t in of(s)]
+                    found[w] = struct.pack(f"<{len(ids)}{kind}", *ids)
+        known.add_all(found)
 
 
 @functools.lru_cache(maxsize=2)
@@ -172,14 +188,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     def encode():
         own = library_encoder(tokenizer)
-        kind = f"<u{own.width}"
-        end = np.array([end_id], kind).tobytes()
+        end = own.pack(end_id)
 
         def step(batch):
-            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in own.encode_batch(texts(batch))]
+            ids = [x + end for x in own.encode_batch(texts(batch))]
             return {"doc_id": batch.column("doc_id"), "tie": batch.column("tie"), "ids": ids}
 
-        step.done = own.known.trim
         return step
 
     ddl = "part long, seq long, name string, n_docs long, n_ids long"
