@@ -30,7 +30,7 @@ STRETCH = 1 << 20
 _open = threading.local()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, written once to the shared folder and read back: its lineage ends there.
 
     The table goes by forget(), at the end of a passing() block, or with the
@@ -38,7 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = claim(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     for own in getattr(_open, "blocks", [])[-1:]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import claim
 from . import bpe
-from .common import arrow_schema, map_batches, passing, release, stored, texts
+from .common import Store, arrow_schema, map_batches, passing, release, stored, stretches, texts
 
 MAGIC = b"ISOTOK01"
 HEADER = struct.Struct("<8sBxxxxxxxQQQqQ")  # magic, id width, documents, ids, documents with null id, least doc_id, bytes of the ends
@@ -131,37 +131,63 @@ class Shard:
         return [None] * (min(stop, self.nulls) - min(start, self.nulls)) + real.view(np.int64).tolist()
 
 
-class LibraryEncoder(bpe.Encoder):
-    """Chunks and words are kept as in bpe.Encoder, in a larger store that lasts as long as the worker; the tokenizers library encodes them.
+class Known(Store):
+    """A Store that works out what it hasn't."""
+
+    def __init__(self, most: int, work_out):
+        super().__init__(most)
+        self.work_out = work_out
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = found = self.work_out(chunk)
+        self.bytes += len(chunk) + 160
+        return found
+
+
+class LibraryEncoder:
+    """Whole texts to ids by the tokenizers library, chunk by chunk; ids of chunks are kept, within bounds, as long as the worker lasts.
 
     Ids take `width` bytes: 2 where the vocabulary allows, else 4.
     """
 
-    kept = (128 << 20, 600_000)
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(path)
+        own = bpe.encoder(path)
+        self.pieces, self.merges = own.pieces, own.merges
         self.model = Tokenizer.from_file(path).model
         self.width = 2 if len(self.merges.text) <= 1 << 16 else 4
-        self.pack = struct.Struct(f"<{'H' if self.width == 2 else 'I'}").pack
-        self.added = {mark: np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes() for mark, ids in self.added.items()}
-        self.forget()
-
-    def learn_words(self, words: set[str]) -> None:
-        """Encodes the pre-tokens that aren't known yet; a word that is one token by the merges needs no more."""
-        known, whole, sound, spell, of, pack = self.known, self.merges.final, self.merges.canonical, self.merges.spell, self.model.tokenize, self.pack
-        kind, found = "H" if self.width == 2 else "I", {}
-        for w in words:
-            if w not in known:
-                s = spell(w)
-                if (one := whole.get(s)) is not None and sound[one]:
-                    found[w] = pack(one)
-                else:
-                    ids = [t.id for t in of(s)]
-                    found[w] = struct.pack(f"<{len(ids)}{kind}", *ids)
-        known.add_all(found)
+        self.kind = "H" if self.width == 2 else "I"
+        self.known = Known(128 << 20, self.of_chunk)
+
+    def pack(self, *ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+
+    def of_word(self, word: str) -> bytes:
+        """A pre-token's ids; one that is a token by the merges needs no more."""
+        letters = self.merges.spell(word)
+        whole = self.merges.final.get(letters)
+        if whole is not None and self.merges.canonical[whole]:
+            return self.pack(whole)
+        return self.pack(*[t.id for t in self.model.tokenize(letters)])
+
+    def of_chunk(self, chunk: str) -> bytes:
+        words = self.pieces.of_chunk(chunk)
+        if chunk in self.pieces.marks:
+            return self.pack(self.pieces.added[chunk[1:]])
+        if len(words) == 1:
+            return self.of_word(words[0])
+        return b"".join([self.known[w] for w in words])
+
+    def encode_batch(self, batch: list[str]) -> Iterator[bytes]:
+        """Each text's ids, a stretch at a time."""
+        of = self.known.__getitem__
+        for text in batch:
+            out = []
+            for part in stretches(text):
+                out.append(b"".join(map(of, self.pieces.chunks(part))))
+                self.known.settle()
+            yield out[0] if len(out) == 1 else b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)
@@ -234,7 +260,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             rows = rows.withColumn("tie", F.lit(None).cast("string"))
         else:
             rows = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("again")), "left").select("doc_id", "text", F.when(F.col("tied"), F.coalesce("text", F.lit(""))).alias("tie"))
-        encoded = stored(map_batches(rows, encode, "doc_id long, tie string, ids binary"), "token-ids")
+        encoded = stored(map_batches(rows, encode, "doc_id long, tie string, ids binary"), "token-ids", "zstd")
         dealt = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
         return keep(stored(dealt.mapInArrow(run, ddl), "token-manifest"))
 
