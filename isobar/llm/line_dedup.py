@@ -121,7 +121,7 @@ def near_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     wanted = shared(halves, ["key"]).select("first").distinct()
     per_doc = wanted.groupBy(F.col("first.doc_id").alias("id"), F.col("first.doc").alias("of")).agg(F.collect_list("first.line_no").alias("nos"))
     per_doc = stored(per_doc, "near-wanted")  # a table, so that rows that repeat a text can be split in the join
-    rows = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("doc") == F.col("of")))
+    rows = docs.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("doc") == F.col("of")))
     rows = rows.select("doc_id", "doc", F.explode("nos").alias("line_no"), F.split("text", "\n").alias("all"))
     lines = stored(rows.select(place().alias("first"), F.get("all", F.col("line_no")).alias("line")).dropDuplicates(["first"]), "near-lines")
 
@@ -214,7 +214,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc"), text.alias("text"))
     own_id, own_doc, gone, all_lines, left = fresh(docs, "id", "doc", "gone", "lines", "left")
-    found = dropped_lines(plain, least).toDF(own_id, own_doc, gone)
+    found = dropped_lines(plain, least).toDF(own_id, own_doc, gone).hint("merge")  # as large as docs in the end: one plan at every size
     df = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_doc)), "left").drop(own_id, own_doc)
     df = df.withColumn(all_lines, F.split(text, "\n"))
     numbers = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(gone))
